@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format
+from . import bpe, chat_format, packing, secrets
 from .common import table
 
 TOKENIZERS = os.environ.get("VERTEXLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -77,5 +77,26 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every whole text into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans every whole text for secrets."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = secrets.scan(docs, secrets.fdr_thresholds(docs)).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan}
 ORACLES = {"op1_chat_format": OP1_SQL}
