@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, packing, secrets
+from . import bpe, chat_format, packing, quality, secrets
 from .common import table
 
 TOKENIZERS = os.environ.get("VERTEXLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -98,5 +98,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every whole text."""
+    return quality.judge(table(spark, sf_dir, "documents")).drop("d2")
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules}
 ORACLES = {"op1_chat_format": OP1_SQL}
