@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, packing, quality, secrets
+from . import bpe, chat_format, line_dedup, packing, quality, secrets
 from .common import table
 
 TOKENIZERS = os.environ.get("VERTEXLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -103,5 +103,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("d2")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules}
-ORACLES = {"op1_chat_format": OP1_SQL}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes repeated three-line windows from every whole text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+w AS (
+  SELECT doc_id, pos, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k
+    FROM w WHERE c IS NOT NULL AND regexp_matches(a || b || c, '[^\x20\x09-\x0D]')
+  ) WHERE k > 1
+),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(3) t(k)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(d.lines), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup}
+ORACLES = {"op1_chat_format": OP1_SQL, "op6_line_dedup": OP6_SQL}
