@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, line_dedup, packing, quality, secrets
-from .common import table
+from . import bpe, chat_format, language_id, line_dedup, packing, quality, secrets, toxicity
+from .common import crc32_mod, table
 
 TOKENIZERS = os.environ.get("VERTEXLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -131,5 +131,22 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of every whole text; learns from ids whose checksum modulo 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    fold = crc32_mod(F.col("doc_id"), 3)
+    parser = language_id.CrossParser(language_id.sample(docs, fold != 1))
+    return language_id.identify(docs, parser).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text; learns from labels of ids whose checksum modulo 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = crc32_mod(F.col("doc_id"), 5)
+    model = toxicity.train(docs, labels, fold != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op9_toxicity": op9_toxicity}
 ORACLES = {"op1_chat_format": OP1_SQL, "op6_line_dedup": OP6_SQL}
