@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, line_dedup, packing, quality, secrets, toxicity
+from . import bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality, secrets, toxicity
 from .common import crc32_mod, table
 
 TOKENIZERS = os.environ.get("VERTEXLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -148,5 +148,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op9_toxicity": op9_toxicity}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by five-word shingles at a similarity of 0.8."""
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
 ORACLES = {"op1_chat_format": OP1_SQL, "op6_line_dedup": OP6_SQL}
