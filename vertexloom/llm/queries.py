@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality, secrets, toxicity
+from . import bit_sliced, bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality, secrets, toxicity
 from .common import crc32_mod, table
 
 TOKENIZERS = os.environ.get("VERTEXLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -153,5 +153,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join}
-ORACLES = {"op1_chat_format": OP1_SQL, "op6_line_dedup": OP6_SQL}
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for every vector whose id is divisible by 100."""
+    return bit_sliced.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+OP8_SQL = r"""
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join, "op8_topk_search": op8_topk_search}
+ORACLES = {"op1_chat_format": OP1_SQL, "op6_line_dedup": OP6_SQL, "op8_topk_search": OP8_SQL}
