@@ -345,3 +345,13 @@ def join_classes(docs: DataFrame) -> DataFrame:
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     empty = named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return own.join(least, "label").select("doc_id", "n_shingles", "component_id").unionAll(empty)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without those linked to a smaller id; of rows that repeat an id and text, one stays."""
+    classes = join_classes(docs)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    out = docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.withColumn("text_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_"]).drop("text_hash_")

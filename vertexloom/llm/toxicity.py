@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 256
-#: Least documents and standard errors of the log odds of a lexicon word.
-LEXICON_DOCUMENTS, LEXICON_Z = 4, 4.0
+#: Least toxic documents of a lexicon word, and least excess over the toxic share in standard deviations.
+LEXICON_DOCUMENTS, LEXICON_Z = 5, 7.0
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú ti usted ustedes vosotros su sus".split())
 #: Stand-ins of letters in obfuscated words.
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -213,8 +213,9 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     totals = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     toxic, clean = (totals["t"] or 0) + 1.0, (totals["c"] or 0) + 1.0
     odds = F.ln((F.col("t") + 0.5) / toxic) - F.ln((F.col("c") + 0.5) / clean)
-    spread = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counts.filter(F.col("t") >= LEXICON_DOCUMENTS).select("word", odds.alias("odds"), (odds / spread).alias("z")).filter(F.col("z") >= LEXICON_Z)
+    share, n = toxic / (toxic + clean), F.col("t") + F.col("c")
+    excess = (F.col("t") - n * share) / F.sqrt(n * share * (1 - share))
+    best = counts.filter(F.col("t") >= LEXICON_DOCUMENTS).select("word", odds.alias("odds"), excess.alias("z")).filter(F.col("z") >= LEXICON_Z)
     return {r["word"]: float(r["odds"]) for r in best.orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()}
 
 
@@ -259,3 +260,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score of every whole text."""
     return _with_features(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model.lexicon, model)
+
+
+def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below `threshold`, all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_WORDS and the number of trees
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        featurizer = Featurizer(shared.value.lexicon)
+        for batch in batches:
+            x = np.array([featurizer(t.as_py() or "") for t in batch.column("text")], np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(shared.value.score(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
