@@ -1,8 +1,63 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-STAGES = []
+Toxic documents go; later occurrences of repeated three-line windows go; of each class of near
+copies the smallest id stays; secrets are replaced by a mark; what is left is packed into
+sequences. All stages but the last return the columns of documents; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vertexloom.llm import jaccard_join, line_dedup, packing, secrets, toxicity
+from vertexloom.llm.common import crc32_mod, durable, table
+from vertexloom.llm.queries import vocabulary
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, n_chars brought up to date where it is one of them."""
+    return docs.select(*(F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else c for c in columns))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc32_mod(F.col("doc_id"), 5) != 0)
+    return toxicity.reject(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(line_dedup.dedup_lines(docs), docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.scan(docs, secrets.fdr_thresholds(docs))
+    return _counted(found.withColumn("text", secrets.redact(F.col("text"), F.col("spans"))), docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack_sequences),
+]
+
+#: SQL cannot express the trees, the packing or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = durable(docs, "stage")
+    return docs
