@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import durable, shared_folder
+
+__all__ = ["WS_CLASS", "crc32_mod", "durable", "let", "shared_folder", "table"]
+
 #: A word is a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WS_CLASS = r"\x20\x09-\x0D"
 
@@ -18,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def _local_folder() -> str:
-    folder = tempfile.TemporaryDirectory(prefix="vertexloom-")
-    atexit.register(folder.cleanup)
-    return f"file://{folder.name}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
-
-
-def durable(df: DataFrame, name: str = "t") -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/vertexloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once for each row, however often `body` names it."""
     return F.transform(F.array(value), body)[0]

@@ -18,9 +18,11 @@ Candidates. Signatures travel packed, by bucket; a bucket's run of equal signatu
 `SMALL_RUN` nodes gives its pairs, a longer one only pairs with its first node (the pivot), and
 its members are kept. Pairs are dropped by an exact bound: counts of features by class of a
 sketch differ by no more than the sets do. The others are verified on whole sets.
-For long runs, what the pivot leaves open is only pairs of nodes in different classes; those
-are made next, except where the distances to the pivot differ by more than 0.2 (the Jaccard
-distance is a metric), then bounded and verified like the others. No link is lost.
+Long runs come of passages that many sets share, or of many near copies. A set shares at least
+n - k strong parts, less its weak ones, with any set linked with it; if it is in fewer long runs
+than that, they meet in a short one. For the others, only pairs in different classes are open;
+they are sought among sets that share one of their rarest features, a fifth of each, which leaves
+out the passages that many share, then bounded and verified. No link is lost.
 
 Classes. Verified links, between nodes, are joined by least labels with pointer jumping, as
 tables. Links, labels and sets are never collected.
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,7 @@ from .shingles import U, mix, shingle_sets
 NEED, OF = 80, 100
 WIDTH = 5
 #: Parts of an instance for each feature of its largest set.
-PARTS = 0.364
+PARTS = 0.4
 #: Longest run of equal signatures whose pairs are all made at once.
 SMALL_RUN = 8
 #: Signatures that meet in one task, about.
@@ -66,9 +69,9 @@ def bands(largest: int) -> list[int]:
 _ENDS = np.array(bands(1 << 40), np.int64)
 
 
-def differ(size: np.ndarray) -> np.ndarray:
-    """Most features in which a set of `size` and any set linked with it can differ: a partner has size / 0.8 at most."""
-    return size * (OF - NEED) // NEED
+def differ(size: np.ndarray, below: int) -> np.ndarray:
+    """Most features in which a set of `size` and a set linked with it can differ: a partner has size / 0.8 at most, and in the band below no more than `size`."""
+    return size * (OF - NEED) * 2 // (OF + NEED) if below else size * (OF - NEED) // NEED
 
 
 def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -98,55 +101,77 @@ def sketches(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(cells, 255).astype(np.uint8).reshape(n, SKETCH)
 
 
-def signatures(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures, and the document of each."""
+@dataclass(frozen=True)
+class Instance:
+    """What the documents have in the parts of one instance; the first three by filled part, the rest by document."""
+
+    sign: np.ndarray
+    doc: np.ndarray
+    features: np.ndarray
+    place: np.ndarray
+    taking: np.ndarray
+    band: np.ndarray
+    parts: np.ndarray
+    agree: np.ndarray  #: parts in which a linked set agrees, at least
+    strong: np.ndarray
+    filled: np.ndarray
+
+
+def instances(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> Iterator[Instance]:
     sizes = np.bincount(owner, minlength=n_docs)
-    found, of = [], []
     own_band = np.searchsorted(_ENDS, sizes, side="left")
     for below in (0, 1):
-        instance = own_band - below
-        taking = (sizes > 0) & (instance >= 0)
-        instance = np.maximum(instance, 0)
-        u = _ENDS[instance]
-        parts = np.maximum(differ(u) + 1, np.ceil(u * PARTS).astype(np.int64))
+        taking = (sizes > 0) & (own_band >= below)
+        band = np.maximum(own_band - below, 0)
+        u = _ENDS[band]
+        parts = np.maximum(u * (OF - NEED) // NEED + 1, np.ceil(u * PARTS).astype(np.int64))
         mine = taking[owner]
         who, what = owner[mine], sets[mine]
-        seed = mix(instance[who].astype(np.uint64) * U(0x2545F4914F6CDD1D) + U(7))
+        seed = mix(band[who].astype(np.uint64) * U(0x2545F4914F6CDD1D) + U(7))
         part = (mix(what ^ seed) % parts[who].astype(np.uint64)).astype(np.int64)
-        base = np.concatenate(([0], np.cumsum(np.where(taking, parts, 0))[:-1]))
+        base = np.concatenate(([0], np.cumsum(np.where(taking, parts, 0))[:-1])).astype(np.int64)
         slot = base[who] + part
         order = np.argsort(slot, kind="stable")
         slot, what, who = slot[order], what[order], who[order]
         begin = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, np.int64)
-        if not len(begin):
-            continue
-        total = np.add.reduceat(mix(what + U(0x632BE59BD9B4E019)), begin)
+        total = np.add.reduceat(mix(what + U(0x632BE59BD9B4E019)), begin) if len(begin) else np.zeros(0, np.uint64)
         features = np.diff(np.concatenate((begin, [len(slot)])))
-        doc = who[begin]
-        sign = mix(total ^ mix(slot[begin].astype(np.uint64) - base[doc].astype(np.uint64) + instance[doc].astype(np.uint64) * U(1 << 40)))
-        strong = np.bincount(doc[features >= 2], minlength=n_docs)
-        filled = np.bincount(doc, minlength=n_docs)
-        agree = parts - differ(sizes)  # parts in which a linked set agrees, at least
-        weak_too = parts - strong >= agree
-        empty_too = taking & (parts - filled >= agree)
-        keep = (features >= 2) | weak_too[doc]
-        found.append(sign[keep])
-        of.append(doc[keep])
-        for d in np.flatnonzero(empty_too).tolist():
-            gone = np.setdiff1d(np.arange(parts[d]), slot[begin[doc == d]] - base[d])
-            found.append(mix(mix(gone.astype(np.uint64) + U(instance[d]) * U(1 << 40)) ^ U(0xE4E4)))
+        doc, place = who[begin], slot[begin] - base[who[begin]]
+        sign = mix(total ^ mix(place.astype(np.uint64) + band[doc].astype(np.uint64) * U(1 << 40)))
+        strong, filled = np.bincount(doc[features >= 2], minlength=n_docs), np.bincount(doc, minlength=n_docs)
+        yield Instance(sign, doc, features, place, taking, band, parts, parts - differ(sizes, below), strong, filled)
+
+
+def signatures(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures, and the document of each."""
+    found, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in instances(sets, owner, n_docs):
+        weak_too = i.parts - i.strong >= i.agree
+        keep = (i.features >= 2) | weak_too[i.doc]
+        found.append(i.sign[keep])
+        of.append(i.doc[keep])
+        for d in np.flatnonzero(i.taking & (i.parts - i.filled >= i.agree)).tolist():
+            gone = np.setdiff1d(np.arange(i.parts[d]), i.place[i.doc == d]).astype(np.uint64)
+            found.append(mix(mix(gone + U(i.band[d]) * U(1 << 40)) ^ U(0xE4E4)))
             of.append(np.full(len(gone), d))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(found), np.concatenate(of)
 
 
+def sure_signatures(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
+    """How many of its strong signatures each set shares with any set linked with it, at least; 0 for one that signs weak parts."""
+    least = np.full(n_docs, np.iinfo(np.int64).max)
+    for i in instances(sets, owner, n_docs):
+        sure = np.maximum(i.agree - (i.parts - i.strong), 0)
+        least = np.where(i.taking, np.minimum(least, sure), least)
+    return np.where(least == np.iinfo(np.int64).max, 0, least)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
 def name_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, sketch of each row."""
+    """doc_id, n_shingles, node, sure, sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,11 +180,11 @@ def name_documents(docs: DataFrame) -> DataFrame:
                 sets, owner = shingle_sets(texts[a:b], WIDTH)
                 cells = sketches(sets, owner, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a)), _signed(node_names(sets, owner, b - a)), pa.array([c.tobytes() for c in cells], pa.binary())],
-                    ["doc_id", "n_shingles", "node", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a)), _signed(node_names(sets, owner, b - a)), pa.array(sure_signatures(sets, owner, b - a)), pa.array([c.tobytes() for c in cells], pa.binary())],
+                    ["doc_id", "n_shingles", "node", "sure", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sure bigint, sketch binary")
 
 
 def _runs(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,9 +277,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, common, total of the pairs: the sizes of intersection and union of whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, features: the sets of the wanted nodes, from the text of their least document."""
     keys = nodes.join(wanted, "node", "left_semi").select("key", "node")
     texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key"), "text").join(keys, "key")
 
@@ -268,8 +292,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 own = np.flatnonzero(names == node[a:b])  # an id may name other texts too
                 yield pa.RecordBatch.from_arrays([pa.array(node[a:b][own]), pa.array([sets[cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary())], ["node", "features"])
 
-    sets = texts.mapInArrow(run, "node bigint, features binary").groupBy("node").agg(F.first("features").alias("features"))
-    sets = durable(sets, "sets")
+    return durable(texts.mapInArrow(run, "node bigint, features binary").groupBy("node").agg(F.first("features").alias("features")), "sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, common, total of the pairs: the sizes of intersection and union of whole sets."""
+    sets = _whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,22 +330,62 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
-def _open_pairs(members: DataFrame, measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) that long runs leave open: of two classes, and not ruled out by their distances to the pivot."""
-    distance = measured.select("a", "b", (1 - F.col("common") / F.col("total")).alias("far"))
-    spread = members.join(distance, ["a", "b"], "left").select("run", F.col("b").alias("node"), F.col("a").alias("pivot"), "far")
-    labelled = spread.join(labels, "node", "left").select("run", "node", "pivot", "far", F.coalesce("label", "node").alias("label"))
-    pivots = labels.select(F.col("node").alias("pivot"), F.col("label").alias("top"))
-    topped = labelled.join(pivots, "pivot", "left").withColumn("apart", (F.coalesce("top", "pivot") != F.col("label")))
-    # a run all of whose members are in the pivot's class leaves nothing open
-    unsettled = topped.groupBy("run").agg(F.max("apart").alias("any")).filter("any").select("run")
-    rest = topped.join(unsettled, "run", "left_semi")
-    x = rest.filter("apart").select("run", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("far").alias("fx"))
-    y = rest.select("run", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("far").alias("fy"))
-    step = F.lit((OF - NEED) / OF + 1e-9)
-    near = F.col("fx").isNull() | F.col("fy").isNull() | (F.abs(F.col("fx") - F.col("fy")) <= step)
-    met = x.join(y, "run").filter((F.col("lx") != F.col("ly")) & near)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _open_nodes(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label of the nodes that may have links which only long runs show."""
+    in_runs = durable(members.select("run", F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label")), "runs")
+    # a run all of whose members are in one class leaves nothing open
+    unsettled = in_runs.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("run")
+    open_runs = in_runs.join(unsettled, "run", "left_semi").select("node", "label").distinct()
+    # fewer long runs than sure signatures: one of those it shares with any linked set is in a short run
+    within = in_runs.groupBy("node").agg(F.count("*").alias("long")).join(nodes.select("node", "sure"), "node")
+    return durable(open_runs.join(within.filter("long >= sure"), "node", "left_semi"), "open")
+
+
+def _rare_pairs(open_nodes: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open nodes in different classes that share one of their rarest features.
+
+    Linked sets share 0.8 of the larger's features at least; so, in any common order, the first 0.2 of
+    each, and one more, have one in common. The order is by how many open nodes hold a feature.
+    Where sets meet, places in that order and sketches rule pairs out before any is made.
+    """
+    sets = _whole_sets(open_nodes.select("node"), nodes, docs)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                features = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(features), node, np.int64)), pa.array(features)], ["node", "feature"])
+
+    each = durable(sets.mapInArrow(explode, "node bigint, feature bigint"), "features")
+    shared = each.groupBy("feature").agg(F.count("*").alias("held")).filter("held > 1")
+    common = each.join(shared, "feature").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "feature"))).alias("common"))
+    sized = common.join(nodes.select("node", "n_shingles"), "node").join(open_nodes, "node")
+    # features that one node alone holds come first, and take up places
+    alone = F.col("n_shingles") - F.size("common")
+    first = F.greatest(F.floor(F.col("n_shingles") * (OF - NEED) / OF) + 1 - alone, F.lit(0)).cast("int")
+    prefix = sized.select("node", "label", "n_shingles", alone.alias("alone"), F.posexplode(F.slice("common", 1, first)).alias("at", "f"))
+    prefix = durable(prefix.select("node", "label", "n_shingles", (F.col("alone") + F.col("at")).cast("bigint").alias("place"), F.col("f.feature").alias("feature")), "prefix")
+    mixed = prefix.groupBy("feature").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("feature")
+    met = prefix.join(mixed, "feature", "left_semi").join(nodes.select("node", "sketch"), "node")
+
+    def meet(group: pa.Table) -> pa.Table:
+        node, label, size, place = (group.column(c).to_numpy() for c in ("node", "label", "n_shingles", "place"))
+        cells = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), SKETCH).astype(np.int16)
+        left, right = [], []
+        for i in range(len(node) - 1):
+            j = np.arange(i + 1, len(node))
+            both = size[i] + size[j]
+            apart = (OF - NEED) * both  # linked sets differ by this over OF + NEED at most
+            # as the first feature in common, it has none in common before it; else the pair meets at an earlier one
+            j = j[(label[j] != label[i]) & ((OF + NEED) * (place[i] + place[j]) <= apart) & ((OF + NEED) * np.abs(size[i] - size[j]) <= apart)]
+            far = np.abs(cells[j] - cells[i]).sum(1, dtype=np.int64)
+            j = j[(OF + NEED) * far <= (OF - NEED) * (size[i] + size[j])]
+            left.append(np.minimum(node[i], node[j]))
+            right.append(np.maximum(node[i], node[j]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([none, *left])), "b": pa.array(np.concatenate([none, *right]))})
+
+    return met.select("feature", "node", "label", "n_shingles", "place", "sketch").groupBy("feature").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def join_classes(docs: DataFrame) -> DataFrame:
@@ -325,7 +393,7 @@ def join_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = durable(name_documents(docs), "named")
     full = named.filter("n_shingles > 0")
-    nodes = durable(full.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = durable(full.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sure").alias("sure"), F.first("sketch").alias("sketch")), "nodes")
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, math.ceil(total * 0.6 / BUCKET_SIGNATURES))
     found = durable(_candidates(docs, buckets), "pairs")
@@ -336,7 +404,9 @@ def join_classes(docs: DataFrame) -> DataFrame:
     labels = components(links)
     members = found.filter("run != 0")
     if not members.isEmpty():
-        more = durable(_bounded(_open_pairs(members, measured, labels), nodes).join(measured.select("a", "b"), ["a", "b"], "left_anti"), "open")
+        rest = _open_nodes(members, nodes, labels)
+        known = measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = durable(_rare_pairs(rest, nodes, docs).join(known, ["a", "b"], "left_anti"), "near")
         if not more.isEmpty():
             late = durable(_verified(more, nodes, docs), "links").filter(linked).select("a", "b")
             if not late.isEmpty():
