@@ -22,10 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/vertexloom/{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/vertexloom/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,6 +57,11 @@ def discard_table(df: DataFrame) -> None:
             discard(df.sparkSession, folder)
 
 
+def discard_all(spark: SparkSession) -> None:
+    """Removes all tables that this application wrote; no result that reads them may be in use."""
+    discard(spark, own_folder(spark))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """The whole file at once: written aside, then renamed over the old one."""
     aside, fs = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.storage import durable, shared_folder
+from .functions.storage import durable, own_folder
 from .operators.algorithms import components, default_teleport, pagerank, shortest_paths
 from .operators.graph import Graph, last_wins, orphan_edges
 from .operators.state import Checkpoints, GraphState
@@ -287,7 +287,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS live, c_acctbal AS saved FROM customer")
 def state_upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    base = f"{shared_folder(spark).rstrip('/')}/vertexloom/state-{uuid.uuid4().hex}"
+    base = f"{own_folder(spark)}/state-{uuid.uuid4().hex}"
     state = GraphState(spark, f"{base}/live", value_type="double")
     state.put_vertices(rows)
     saved = state.snapshot(f"{base}/saved")
@@ -308,6 +308,6 @@ def resume_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = trade_graph(spark, sf_dir)
     graph = graph.with_values(graph.vertices.withColumn("value", F.lit(1.0)))
     teleport = default_teleport(graph, 0.85)
-    points = Checkpoints(spark, f"{shared_folder(spark).rstrip('/')}/vertexloom", f"job-{uuid.uuid4().hex}", "pagerank", {"alpha": 0.85, "teleport": teleport}, 2)
+    points = Checkpoints(spark, own_folder(spark), f"job-{uuid.uuid4().hex}", "pagerank", {"alpha": 0.85, "teleport": teleport}, 2)
     pagerank(graph, 4, 0.85, teleport, hook=points.hook, partitions=3)
     return _rounded(pagerank(graph, 10, 0.85, teleport, resume=points.latest(), partitions=5).vertices)
