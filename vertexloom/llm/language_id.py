@@ -140,13 +140,20 @@ class CrossParser:
 
 
 def sample(docs: DataFrame, learn: Column, sample_rows: int = 200, sample_chars: int = 24_000) -> dict[str, str]:
-    """Labelled text of each language: about `sample_rows` rows by the hash of their ids, `sample_chars` characters at most."""
+    """Labelled text of each language: about `sample_rows` rows by the hash of their ids, `sample_chars` characters at most.
+
+    One count a language comes to the driver, where each has an automaton anyway; so rows are chosen in
+    the scan, and only the sample is shuffled.
+    """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count()
+    shares = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not shares:
+        return {}
+    share = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair))[F.col("lang")]
     pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    chosen = rows.select("lang", pick.alias("pick"), F.substring("text", 1, sample_chars // 8).alias("text")).join(counts, "lang")
+    chosen = rows.filter(pick <= share * (1 << 30)).select("lang", pick.alias("pick"), F.substring("text", 1, sample_chars // 8).alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in chosen.filter(F.col("pick") * F.col("count") <= sample_rows * (1 << 30)).orderBy("lang", "pick", "text").collect():
+    for r in chosen.orderBy("lang", "pick", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(t)[:sample_chars] for lang, t in texts.items()}
 
