@@ -62,18 +62,22 @@ def discard_all(spark: SparkSession) -> None:
     discard(spark, own_folder(spark))
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
     """The whole file at once: written aside, then renamed over the old one."""
     aside, fs = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     target, _ = _path(spark, path)
     out = fs.create(aside, True)
-    out.write(text.encode())
+    out.write(raw)
     out.close()
     fs.delete(target, False)
     if not fs.rename(aside, target):
         raise OSError(f"cannot write {path}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     p, fs = _path(spark, path)
     stream = fs.open(p)
