@@ -36,6 +36,8 @@ NONE = np.int64(1 << 62)
 CACHE_ENTRIES = 600_000
 #: White space to str.split() alone.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Beyond these ranges, which no new version of Unicode changes, letter cases and compositions are left to the library.
+UNSETTLED = re.compile("[^\x00-\u02ff\u2000-\u206f\u20a0-\u20bf\u2190-\u23ff\u2500-\u27bf\u3000-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\U0001f300-\U0001f64f]")
 #: Longer runs are not remembered.
 CACHE_CHARS = 48
 
@@ -147,9 +149,10 @@ class WordTokenizer:
 
     def __init__(self, text: str):
         import regex
-        from tokenizers import Regex, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         spec = json.loads(text)
+        self.normalizer = Tokenizer.from_str(text).normalizer
         self.bpe = SegmentTreeBpe(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -161,11 +164,11 @@ class WordTokenizer:
         self.runs: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        if text.isascii() or "Σ" not in text:  # only capital sigma lower-cases by its neighbours
+        if text.isascii():
             return text.lower()
-        return "".join(c.lower() for c in text)
+        if UNSETTLED.search(text):
+            return self.normalizer.normalize_str(text)
+        return unicodedata.normalize("NFC", text).lower()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
