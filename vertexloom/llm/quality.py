@@ -33,8 +33,9 @@ MIN_GROUP = 30
 CUTOFF = 60.0
 #: Transformed statistics and their least standard deviation.
 FEATURES = {"x_words": 0.5, "x_length": 0.1, "x_symbols": 0.12, "x_repeat": 0.15}
-#: Width of the classes that quantiles of features and of squared distances are counted in.
-FEATURE_WIDTH, DISTANCE_WIDTH = 0.01, 0.01
+#: Width, in asinh of the value, of the classes that quantiles are counted in: 0.002 near zero, 0.2 % of
+#: large values, so that the number of classes grows with the logarithm of the largest value alone.
+CLASS_WIDTH = 0.002
 
 
 def _repeated(words: Column) -> Column:
@@ -95,12 +96,12 @@ def features(stats: DataFrame) -> DataFrame:
     })
 
 
-def _quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float], width: float) -> DataFrame:
-    """Columns named by `at`: quantiles of `value` by key, to a class width, from counts by class."""
-    counts = df.groupBy(*keys, F.floor(F.col(value) / width).alias("klass")).agg(F.count("*").alias("c"))
+def _quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Columns named by `at`: quantiles of `value` by key, to a class width, from counts by class, a few thousand a key."""
+    counts = df.groupBy(*keys, F.floor(F.asinh(F.col(value)) / CLASS_WIDTH).alias("klass")).agg(F.count("*").alias("c"))
     ordered = Window.partitionBy(*keys).orderBy("klass")
     summed = counts.select(*keys, "klass", F.sum("c").over(ordered).alias("upto"), F.sum("c").over(Window.partitionBy(*keys)).alias("all"))
-    least = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("klass") + 1) * width))
+    least = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.sinh((F.col("klass") + 1) * CLASS_WIDTH)))
     return summed.groupBy(*keys).agg(*(least(q).alias(name) for name, q in at.items()))
 
 
@@ -137,7 +138,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     """MCD centre and Cholesky factor of each group g."""
     names, k = list(FEATURES), len(FEATURES)
     long = rows.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(x).alias("x")) for i, x in enumerate(names)))).alias("v")).select("g", "v.f", "v.x")
-    spread = _quantiles(long, ["g", "f"], "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, FEATURE_WIDTH)
+    spread = _quantiles(long, ["g", "f"], "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     first = spread.groupBy("g").agg(*(F.max(F.when(F.col("f") == i, F.col(q))).alias(f"{q}_{i}") for i in range(k) for q in ("q1", "q2", "q3")))
     floor = list(FEATURES.values())
     start = {f"m_{i}": F.col(f"q2_{i}") for i in range(k)}
@@ -145,7 +146,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     groups = durable(first.select("g", *(c.alias(n) for n, c in start.items())), "mcd")
     for _ in range(STEPS):
         near = _distance(_joined(rows, groups))
-        limit = _quantiles(near, ["g"], "d2", {"limit": H}, DISTANCE_WIDTH)
+        limit = _quantiles(near, ["g"], "d2", {"limit": H})
         core = near.join(limit, "g").filter(F.col("d2") <= F.col("limit"))
         means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)]
         # products about the last centre, so that no large squares cancel
