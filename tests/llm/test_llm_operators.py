@@ -408,6 +408,18 @@ def test_jaccard_classes(spark, seed, groups, most):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_jaccard_with_common_signatures(spark):
+    """Runs dealt by node: with many parts, and with all of a run in one part."""
+    texts = near_copies(7, 4, 60)
+    want = classes(texts)
+    named = jaccard_join.name_documents(docs_of(spark, texts))
+    for least, bucket in ((3, 300), (12, 10**6)):
+        hot, often = jaccard_join.hot_cells(named, least)
+        assert hot.any() and often > 0
+        got = by_id(jaccard_join.join_classes(docs_of(spark, texts), bucket, least))
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+
+
 def test_jaccard_of_nothing_and_of_repeated_rows(spark):
     assert jaccard_join.join_classes(docs_of(spark, [])).count() == 0
     twice = docs_of(spark, ["a b c d e f"]).unionAll(docs_of(spark, ["a b c d e f"]))
@@ -424,7 +436,7 @@ def test_linked_sets_share_a_signature():
         if 100 * len(a & b) < 80 * len(a | b):
             continue
         sets, owner = shingles.shingle_sets(texts)
-        sign, of = jaccard_join.signatures(sets, owner, 2)
+        sign, of = jaccard_join.signatures(jaccard_join.instances(sets, owner, 2))
         assert set(sign[of == 0]) & set(sign[of == 1])
 
 

@@ -16,7 +16,10 @@ of the two signs strong parts alone, the agreeing part is strong in both.
 
 Candidates. Signatures travel packed, by bucket; a bucket's run of equal signatures of up to
 `SMALL_RUN` nodes gives its pairs, a longer one only pairs with its first node (the pivot), and
-its members are kept. Pairs are dropped by an exact bound: counts of features by class of a
+its members are kept. Signatures of very many nodes, which map batches notice by themselves, are
+dealt by node instead: each task makes its part of the run and passes on its first node, or all
+nodes of a short part, and the parts of a run meet by counts and minima. So no signature, however
+common, gathers in one task. Pairs are dropped by an exact bound: counts of features by class of a
 sketch differ by no more than the sets do. The others are verified on whole sets.
 Long runs come of passages that many sets share, or of many near copies. A set shares at least
 n - k strong parts, less its weak ones, with any set linked with it; if it is in fewer long runs
@@ -35,7 +38,7 @@ id that is not null; an empty table gives an empty table; other columns are igno
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +57,11 @@ PARTS = 0.4
 SMALL_RUN = 8
 #: Signatures that meet in one task, about.
 BUCKET_SIGNATURES = 1_500_000
+#: A signature that batches count this often is dealt by node; a batch counts those of `BUSY` nodes or more.
+HOT_SIGNATURES = BUCKET_SIGNATURES // 10
+BUSY = 3
+#: Classes of signatures in the map of common ones, which is broadcast; a class holds a bit.
+HOT_CELLS = 1 << 20
 BATCH_CHARS = 4_000_000
 SKETCH = 256
 
@@ -142,10 +150,10 @@ def instances(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> Iterator[Inst
         yield Instance(sign, doc, features, place, taking, band, parts, parts - differ(sizes, below), strong, filled)
 
 
-def signatures(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(made: Iterable[Instance]) -> tuple[np.ndarray, np.ndarray]:
     """All signatures, and the document of each."""
     found, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i in instances(sets, owner, n_docs):
+    for i in made:
         weak_too = i.parts - i.strong >= i.agree
         keep = (i.features >= 2) | weak_too[i.doc]
         found.append(i.sign[keep])
@@ -157,44 +165,64 @@ def signatures(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.nda
     return np.concatenate(found), np.concatenate(of)
 
 
-def sure_signatures(sets: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
+def sure_signatures(made: Iterable[Instance], n_docs: int) -> np.ndarray:
     """How many of its strong signatures each set shares with any set linked with it, at least; 0 for one that signs weak parts."""
     least = np.full(n_docs, np.iinfo(np.int64).max)
-    for i in instances(sets, owner, n_docs):
+    for i in made:
         sure = np.maximum(i.agree - (i.parts - i.strong), 0)
         least = np.where(i.taking, np.minimum(least, sure), least)
     return np.where(least == np.iinfo(np.int64).max, 0, least)
 
 
+def busy_signatures(made: Iterable[Instance], names: np.ndarray) -> list[tuple[int, int]]:
+    """Signatures of `BUSY` different nodes or more, and of how many."""
+    found, of = signatures(made)
+    first = np.zeros(len(names), bool)
+    first[np.unique(names, return_index=True)[1]] = True
+    sign, count = np.unique(found[first[of]], return_counts=True)
+    often = count >= BUSY
+    return list(zip(sign[often].view(np.int64).tolist(), count[often].tolist(), strict=True))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
 def name_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, sure, sketch of each row."""
+    """doc_id, n_shingles, node, sure, sketch of each row; busy: what its batch counted, in the batch's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batches_of(texts):
                 sets, owner = shingle_sets(texts[a:b], WIDTH)
-                cells = sketches(sets, owner, b - a)
+                cells, names, made = sketches(sets, owner, b - a), node_names(sets, owner, b - a), list(instances(sets, owner, b - a))
+                busy = [[{"sign": s, "n": n} for s, n in busy_signatures(made, names)], *[None] * (b - a - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a)), _signed(node_names(sets, owner, b - a)), pa.array(sure_signatures(sets, owner, b - a)), pa.array([c.tobytes() for c in cells], pa.binary())],
-                    ["doc_id", "n_shingles", "node", "sure", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a)), _signed(names), pa.array(sure_signatures(made, b - a)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(busy, pa.list_(pa.struct([("sign", pa.int64()), ("n", pa.int64())])))],
+                    ["doc_id", "n_shingles", "node", "sure", "sketch", "busy"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sure bigint, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sure bigint, sketch binary, busy array<struct<sign:bigint,n:bigint>>")
+
 
+def hot_cells(named: DataFrame, least: int) -> tuple[np.ndarray, int]:
+    """Which classes of signatures hold a common one, and how often batches counted those; `HOT_CELLS` rows at most reach the driver."""
+    counted = named.select(F.explode("busy").alias("s")).groupBy("s.sign").agg(F.sum("s.n").alias("n")).filter(F.col("n") >= least)
+    cells = counted.groupBy(F.pmod(F.col("sign"), F.lit(HOT_CELLS)).alias("cell")).agg(F.sum("n").alias("n")).collect()
+    hot = np.zeros(HOT_CELLS, bool)
+    hot[[r["cell"] for r in cells]] = True
+    return hot, sum(r["n"] for r in cells)
 
-def _runs(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by signature and node, each once, without lone signatures: signature, node, and where runs begin."""
+
+def _runs(sign: np.ndarray, node: np.ndarray, lone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by signature and node, each once, without lone signatures unless `lone`: signature, node, and where runs begin."""
     order = np.lexsort((node, sign))
     sign, node = sign[order], node[order]
     fresh = np.ones(len(sign), bool)
     fresh[1:] = (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])
     sign, node = sign[fresh], node[fresh]
-    if len(sign):
+    if len(sign) and not lone:
         same = sign[1:] == sign[:-1]
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
         sign, node = sign[shared], node[shared]
@@ -202,8 +230,12 @@ def _runs(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sign, node, begin
 
 
-def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """run (0 for short ones), a, b: pairs of nodes of which one begins the run, or all pairs of a short one."""
+def _candidates(docs: DataFrame, buckets: int, hot: np.ndarray, salts: int) -> DataFrame:
+    """run (0 for short ones), a, b: pairs of nodes of which one begins the run or its part, or all pairs of a short one.
+
+    Signatures in `hot` classes go by node to `salts` buckets of their own, numbered from `buckets` on.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot)) if salts else None  # HOT_CELLS bits
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +243,7 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
             for a, b in batches_of(texts):
                 sets, owner = shingle_sets(texts[a:b], WIDTH)
                 names = node_names(sets, owner, b - a)
-                found, of = signatures(sets, owner, b - a)
+                found, of = signatures(instances(sets, owner, b - a))
                 node = names[of]
                 order = np.lexsort((node, found))
                 found, node = found[order], node[order]
@@ -219,17 +251,21 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
                 fresh[1:] = (found[1:] != found[:-1]) | (node[1:] != node[:-1])
                 found, node = found[fresh], node[fresh]
                 bucket = (mix(found) % U(buckets)).astype(np.int64)
+                if salts:
+                    common = np.unpackbits(shared.value)[(found % U(HOT_CELLS)).astype(np.int64)] > 0
+                    bucket[common] = buckets + (mix(node[common] ^ U(0x5A17)) % U(salts)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(k, order[cut[k] : cut[k + 1]]) for k in range(buckets) if cut[k] < cut[k + 1]]
+                cut = np.searchsorted(bucket[order], np.arange(buckets + salts + 1))
+                rows = [(k, order[cut[k] : cut[k + 1]]) for k in range(buckets + salts) if cut[k] < cut[k + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in rows], pa.int32()), pa.array([found[i].tobytes() for _, i in rows], pa.binary()), pa.array([node[i].tobytes() for _, i in rows], pa.binary())],
                     ["bucket", "signs", "nodes"],
                 )
 
-    def meet(group: pa.Table) -> pa.Table:
+    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        part = key[0].as_py() >= buckets  # of runs
         join = lambda c: np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column(c)] or [np.zeros(0, np.uint64)])
-        sign_, node, begin = _runs(join("signs"), join("nodes"))
+        sign_, node, begin = _runs(join("signs"), join("nodes"), part)
         end = np.concatenate((begin[1:], [len(sign_)])).astype(np.int64)
         size = end - begin
         runs, left, right = [], [], []
@@ -241,6 +277,8 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
         runs.append(sign_[star] | U(1)), left.append(pivot[star]), right.append(node[star])
         for n in range(2, SMALL_RUN + 1):
             at = begin[size == n]
+            if part:
+                break
             for i in range(n):
                 for j in range(i + 1, n):
                     left.append(node[at + i]), right.append(node[at + j]), runs.append(np.zeros(len(at), np.uint64))
@@ -249,10 +287,27 @@ def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
         r, a, b = r[order], a[order], b[order]
         fresh = np.ones(len(r), bool)
         fresh[1:] = (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.table({"run": _signed(r[fresh]), "a": _signed(a[fresh]), "b": _signed(b[fresh])})
+        out = [pa.table({"run": _signed(r[fresh]), "a": _signed(a[fresh]), "b": _signed(b[fresh])})]
+        if part:  # what it passes on: of a long part its first node, twice; of a short one each node, without a partner
+            short = ~np.repeat(long, size) if len(size) else np.zeros(0, bool)
+            out.append(pa.table({"run": _signed(sign_[begin[long]]), "a": _signed(node[begin[long]]), "b": _signed(node[begin[long]])}))
+            out.append(pa.table({"run": _signed(sign_[short]), "a": _signed(node[short]), "b": pa.nulls(int(short.sum()), pa.int64())}))
+        return pa.concat_tables(out)
 
     signed = docs.select("text").mapInArrow(sign, "bucket int, signs binary, nodes binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "run bigint, a bigint, b bigint")
+    met = signed.groupBy("bucket").applyInArrow(meet, "run bigint, a bigint, b bigint")
+    return _whole_runs(durable(met, "parts")) if salts else met
+
+
+def _whole_runs(met: DataFrame) -> DataFrame:
+    """The pairs of `met`, and those between the parts of runs."""
+    passed = met.filter("b is null or a = b").select("run", "a", F.col("b").isNotNull().alias("long"))
+    runs = passed.groupBy("run").agg(F.min("a").alias("pivot"), (F.max("long") | (F.count("*") > SMALL_RUN)).alias("long"))
+    whole = passed.select("run", "a").join(runs, "run")
+    star = whole.filter("long and a != pivot").select(F.col("run").bitwiseOR(F.lit(1).cast("bigint")).alias("run"), F.col("pivot").alias("a"), F.col("a").alias("b"))
+    short = whole.filter("not long").select("run", "a")  # SMALL_RUN rows a run at most
+    pairs = short.join(short.withColumnRenamed("a", "b"), "run").filter("a < b").select(F.lit(0).cast("bigint").alias("run"), "a", "b")
+    return met.filter("a != b").unionAll(star).unionAll(pairs)
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -388,15 +443,16 @@ def _rare_pairs(open_nodes: DataFrame, nodes: DataFrame, docs: DataFrame) -> Dat
     return met.select("feature", "node", "label", "n_shingles", "place", "sketch").groupBy("feature").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def join_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, component_id."""
+def join_classes(docs: DataFrame, bucket_signatures: int = BUCKET_SIGNATURES, hot_signatures: int = HOT_SIGNATURES) -> DataFrame:
+    """(doc_id, text) to doc_id, n_shingles, component_id. The numbers move work between tasks and change no result."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = durable(name_documents(docs), "named")
     full = named.filter("n_shingles > 0")
     nodes = durable(full.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sure").alias("sure"), F.first("sketch").alias("sketch")), "nodes")
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, math.ceil(total * 0.6 / BUCKET_SIGNATURES))
-    found = durable(_candidates(docs, buckets), "pairs")
+    buckets = max(1, math.ceil(total * 0.6 / bucket_signatures))
+    hot, often = hot_cells(named, hot_signatures)
+    found = durable(_candidates(docs, buckets, hot, math.ceil(often / bucket_signatures)), "pairs")
     pairs = durable(_bounded(found.select("a", "b").distinct(), nodes), "near")
     measured = durable(_verified(pairs, nodes, docs), "links")
     linked = F.expr(f"{OF} * common >= {NEED} * total")
