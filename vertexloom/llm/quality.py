@@ -6,7 +6,7 @@ scatter for each language and source, and the Mahalanobis distance to them. The
 from medians and interquartile ranges and takes concentration steps: mean and covariance of the
 `H` part of a group's rows that lie nearest. Quantiles come from counts in fixed classes, and
 sums are pre-aggregated, so a hot source is never gathered in a task; the table of estimates,
-one row a language and source, is joined by key. Variances have a floor, the tolerance of each
+one row a language and source, is joined by key and salt. Variances have a floor, the tolerance of each
 statistic, so that a group without spread does not reject all that differs a little.
 
 Defined cases: null text has no words, so it fails the base rules; null language or source is a
@@ -36,6 +36,8 @@ FEATURES = {"x_words": 0.5, "x_length": 0.1, "x_symbols": 0.12, "x_repeat": 0.15
 #: Width, in asinh of the value, of the classes that quantiles are counted in: 0.002 near zero, 0.2 % of
 #: large values, so that the number of classes grows with the logarithm of the largest value alone.
 CLASS_WIDTH = 0.002
+#: Tasks that the rows of one group are dealt to where they meet its estimates.
+SALTS = 64
 
 
 def _repeated(words: Column) -> Column:
@@ -129,9 +131,10 @@ def _cholesky(groups: DataFrame) -> DataFrame:
     return groups.drop(*(f"c_{i}_{j}" for i in range(k) for j in range(i + 1)))
 
 
-def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """By group key, nulls included; the optimiser broadcasts the groups only below its size threshold, and splits skewed keys."""
-    return rows.join(groups, "g")
+def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """By group and salt: a hot group's rows meet `SALTS` copies of its one row in `groups`, in as many tasks."""
+    copies = groups.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return rows.join(copies, ["g", "salt"], how)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         near = _distance(_joined(rows, groups))
         limit = _quantiles(near, ["g"], "d2", {"limit": H})
-        core = near.join(limit, "g").filter(F.col("d2") <= F.col("limit"))
+        core = _joined(near, limit).filter(F.col("d2") <= F.col("limit"))
         means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)]
         # products about the last centre, so that no large squares cancel
         about = [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(names)]
@@ -163,11 +166,12 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, text, lang, source) to doc_id, the statistics, base_failed and kept."""
     group = F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.to_json(group)).alias("g"))
-    stats = durable(features(statistics(wanted)).drop("text"), "stats")
-    passed = stats.filter(~F.col("base_failed")).select("g", *FEATURES)
+    salt = F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS).cast("bigint"))
+    stats = durable(features(statistics(wanted)).drop("text").withColumn("salt", salt), "stats")
+    passed = stats.filter(~F.col("base_failed")).select("g", "salt", *FEATURES)
     sizes = passed.groupBy("g").count().filter(F.col("count") >= MIN_GROUP).select("g")
-    groups = estimates(passed.join(sizes, "g", "left_semi"))
-    out = _distance(stats.join(groups, "g", "left"))
+    groups = estimates(_joined(passed, sizes, "left_semi"))
+    out = _distance(_joined(stats, groups, "left"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
 
