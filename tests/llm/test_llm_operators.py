@@ -203,6 +203,17 @@ def test_quality(spark):
     assert quality.judge(docs_of(spark, [])).count() == 0
 
 
+def test_quality_rejects_menus(spark):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    clean = [" ".join(rng.choice(words) for _ in range(rng.randrange(30, 400))) for _ in range(200)]
+    menus = [" | ".join(f"{rng.choice(words)} {rng.choice(words)}" for _ in range(rng.randrange(40, 100))) for _ in range(8)]
+    got = by_id(quality.judge(docs_of(spark, clean + menus)))
+    assert all(got[i]["kept"] for i in range(200))
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(200, 208))
+    assert all(quality.CUTOFF < got[i]["d2"] < 60 for i in range(200, 208))
+
+
 # --- 6: line dedup
 
 

@@ -29,8 +29,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 H, CONSISTENCY = 0.75, 1.49
 STEPS = 3
 MIN_GROUP = 30
-#: Squared distance beyond which a document is rejected: far beyond the chi-squared quantile, as real statistics have long tails.
-CUTOFF = 60.0
+#: Squared distance beyond which a document is rejected: the 0.9999 quantile of the chi-squared law of four dimensions.
+CUTOFF = 23.51
 #: Transformed statistics and their least standard deviation.
 FEATURES = {"x_words": 0.5, "x_length": 0.1, "x_symbols": 0.12, "x_repeat": 0.15}
 #: Width, in asinh of the value, of the classes that quantiles are counted in: 0.002 near zero, 0.2 % of
