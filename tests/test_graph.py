@@ -143,3 +143,42 @@ def test_random_graphs(spark, seed):
     n = rng.randrange(1, 7)
     run = components(Graph.of(spark, [(v, 0) for v in vertices], [(s, d, 0) for s, d in edges]), n)
     assert (values(run), run.executed) == yardstick(vertices, edges, n)
+
+
+def test_queries_over_all_lines(spark, tmp_path):
+    """Brute force over tables whose lines have unequal quantities."""
+    import random
+
+    from vertexloom.queries import LINE_QUERIES, ORACLES, QUERIES
+
+    rng = random.Random(5)
+    orders = [(o, rng.randrange(8)) for o in range(25)]
+    lines = [(rng.randrange(25), rng.randrange(6), float(rng.randrange(1, 51))) for _ in range(30)]
+    tables = {"customer": ([(c,) for c in range(9)], "c_custkey bigint"), "supplier": ([(k,) for k in range(7)], "s_suppkey bigint"), "orders": (orders, "o_orderkey bigint, o_custkey bigint"), "lineitem": (lines, "l_orderkey bigint, l_suppkey bigint, l_quantity double")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    ids = [2 * c for c in range(9)] + [2 * k + 1 for k in range(7)]
+    pairs = [(2 * dict(orders)[o], 2 * k + 1, int(w)) for o, k, w in lines]
+    edges = pairs + [(d, s, w) for s, d, w in pairs]
+
+    def relaxed(weight):
+        far = {v: 2147483647 for v in ids} | {min(s for s, _, _ in edges): 0}
+        for _ in ids:
+            for s, d, w in edges:
+                if far[s] < 2147483647:
+                    far[d] = min(far[d], far[s] + weight(w))
+        return far
+
+    def got(name):
+        return {tuple(r) for r in QUERIES[f"{name}_all_lines"](spark, str(tmp_path)).collect()}
+
+    assert len(LINE_QUERIES) == 14 and not any(f"{n}_all_lines" in ORACLES for n in LINE_QUERIES)
+    assert got("out_degree") == {(v, n) for v in ids if (n := sum(s == v for s, _, _ in edges))}
+    assert got("adjacency") == {(v, ",".join(f"{d}:{w}" for d, w in out)) for v in ids if (out := sorted((d, w) for s, d, w in edges if s == v))}
+    assert got("wcc_customer_supplier") == set(yardstick(ids, [e[:2] for e in edges], 50)[0].items())
+    assert got("sssp_weighted") == set(relaxed(lambda w: w).items())
+    assert got("bfs_hops") == {(v, n) for v, n in relaxed(lambda w: 1).items() if n < 2147483647}
+    rank = dict.fromkeys(ids, 1.0)
+    for _ in range(9):
+        rank = {v: 0.15 + 0.85 * sum(rank[s] / sum(a == s for a, _, _ in edges) for s, d, _ in edges if d == v) for v in ids}
+    assert dict(got("pagerank_customer_supplier")) == pytest.approx(rank, abs=2e-6)
