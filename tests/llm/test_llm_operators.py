@@ -291,6 +291,33 @@ def test_languages(spark):
     assert language_id.identify(docs_of(spark, []), parser).count() == 0
 
 
+def test_languages_with_many_letters():
+    """Two languages share 2,000 letters in other orders, one has letters beyond U+FFFF; against a parse by substrings."""
+    rng = random.Random(13)
+    shared = [chr(0x4E00 + i) for i in range(2000)]
+    words = {lang: ["".join(rng.sample(shared, 3)) for _ in range(700)] for lang in ("aa", "bb")}
+    words["cc"] = ["".join(chr(rng.randrange(0x10400 + 40, 0x10400 + 80)) for _ in range(4)) for _ in range(20)]
+    words["dd"] = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(2000)]
+    samples = {lang: " ".join(rng.sample(w, len(w))) for lang, w in words.items()}
+    parser = language_id.CrossParser(samples)
+    want = [lang for lang in words for _ in range(20)]
+    texts = [" ".join(rng.choices(words[lang], k=15)) for lang in want]
+    names, score = parser.predict(texts)
+    assert names == want and min(score) > 0.1
+
+    def phrases(text, learned):
+        at = n = 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[at : end + 1] in learned:
+                end += 1
+            n, at = n + 1, end
+        return n
+
+    found = parser.phrases([parser.letters(t) for t in texts])
+    assert found.tolist() == [[phrases(t, samples[lang]) for lang in sorted(samples)] for t in texts]
+
+
 # --- 8: search
 
 

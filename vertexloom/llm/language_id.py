@@ -8,17 +8,20 @@ its phrases to the runner-up's. Letters are lower-cased, all else counts as a si
 
 The automata come from a bounded sample: about `sample_rows` labelled rows a language, chosen by
 a hash of their ids, and at most `sample_chars` characters; their tables are the only
-thing that is broadcast, and their size does not depend on the corpus. Every whole text is
+thing that is broadcast, and their size does not depend on the corpus. Every letter of the samples
+has a code: transitions by the commonest lie in a dense table, those by all others in a sorted
+list of pairs of state and code. Every whole text is
 parsed, in blocks of `BLOCK` letters that advance together as columns of one array.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, as is all text
 where no language could be learned; with a single language its score is 1; a tie goes to
-the name that comes first; repeated rows are predicted each on its own; a null id counts as
+the name that comes first; a letter beyond the sample is one phrase in every language; repeated rows are predicted each on its own; a null id counts as
 empty text in the fold; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,11 +34,12 @@ BLOCK = 512
 BATCH_CHARS = 2_000_000
 #: Codes of letters: PAD, OTHER and SPACE come before the alphabet's letters.
 PAD, OTHER, SPACE, FIRST = 0, 1, 2, 3
-MAX_ALPHABET = 128
+#: Codes below this have columns in the dense tables; transitions by all further codes are searched for.
+DENSE_CODES = 128
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions [state, code] of the automaton of all substrings; -1: none; state 0 is the root."""
+def automaton_edges(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions by state of the automaton of all substrings; state 0 is the root."""
     link, length, edges = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -61,41 +65,58 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return edges
+
+
+def dense_table(edges: list[dict[int, int]], width: int) -> np.ndarray:
+    """Transitions [state, code] by codes below `width`; -1: none."""
     table = np.full((len(edges), width), -1, np.int32)
     for s, e in enumerate(edges):
-        if e:
-            table[s, list(e)] = list(e.values())
+        for c, t in e.items():
+            if c < width:
+                table[s, c] = t
     return table
 
 
+def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
+    """Transitions [state, code] of the automaton of all substrings; -1: none; state 0 is the root."""
+    return dense_table(automaton_edges(codes), width)
+
+
 class CrossParser:
     """The automata of the languages over one alphabet."""
 
     def __init__(self, samples: dict[str, str]):
         texts = {k: v.lower() for k, v in sorted(samples.items())}
-        seen = Counter(c for t in texts.values() for c in t if c.isalpha() and ord(c) < 65536)
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: MAX_ALPHABET - FIRST]]
-        alpha = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
-        self.code = np.where(alpha, OTHER, SPACE).astype(np.uint8)
-        self.code[[ord(c) for c in letters]] = np.arange(FIRST, FIRST + len(letters))
-        self.width = FIRST + len(letters)
+        seen = Counter(c for t in texts.values() for c in t if c.isalpha())
+        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        self.codes = FIRST + len(letters)
+        alpha = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        self.code = np.where(alpha, OTHER, SPACE).astype(np.min_scalar_type(self.codes))
+        self.code[[ord(c) for c in letters]] = np.arange(FIRST, self.codes)
+        self.width = min(self.codes, DENSE_CODES)
         self.names = list(texts)
-        self.tables = [self._ready(suffix_automaton(self.letters(t).tolist(), self.width)) for t in texts.values()]
+        self.tables = [self._ready(automaton_edges(self.letters(t).tolist())) for t in texts.values()]
 
-    def _ready(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat transitions, with none for an unseen code and no move at padding; where to go from the root, and at what cost."""
+    def _ready(self, edges: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Flat dense transitions, with none for an unseen code and no move at padding; where to go from the root, and at
+        what cost; transitions by the other codes, as sorted keys and targets that end in a key beyond all.
+        """
+        table = dense_table(edges, self.width)
         table[:, OTHER] = -1
         table[:, PAD] = np.arange(len(table))
-        return table.ravel() * np.int32(1), np.maximum(table[0], 0), (table[0] < 0).astype(np.int32)
+        root = np.full(self.codes, -1, np.int32)
+        root[: self.width] = table[0]
+        for c, t in edges[0].items():
+            root[c] = t
+        rest = sorted((s * self.codes + c, t) for s, e in enumerate(edges) for c, t in e.items() if c >= self.width)
+        keys = np.array([*(k for k, _ in rest), np.iinfo(np.int64).max], np.int64)
+        targets = np.array([*(t for _, t in rest), -1], np.int32)
+        return table.ravel(), np.maximum(root, 0), (root < 0).astype(np.int32), keys, targets
 
     def letters(self, text: str) -> np.ndarray:
         """Codes of a lower-case text; runs of non-letters become one space."""
-        points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-        if len(points) and points.max() > 65535:
-            astral = np.fromiter((p > 65535 and chr(p).isalpha() for p in points.tolist()), bool, len(points))
-            codes = np.where(points > 65535, np.where(astral, OTHER, SPACE), self.code[np.minimum(points, 65535)]).astype(np.uint8)
-        else:
-            codes = self.code[points]
+        codes = self.code[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
         gap = codes == SPACE
         gap[1:] &= codes[:-1] == SPACE
         if len(gap):
@@ -106,17 +127,24 @@ class CrossParser:
         """Phrases [document, language]."""
         blocks = [max(1, -(-len(d) // BLOCK)) for d in documents]
         owner = np.repeat(np.arange(len(documents)), blocks)
-        flat = np.zeros(len(owner) * BLOCK, np.uint8)
+        flat = np.zeros(len(owner) * BLOCK, self.code.dtype)
         at = 0
         for d, b in zip(documents, blocks, strict=True):
             flat[at : at + len(d)] = d
             at += b * BLOCK
         grid = np.ascontiguousarray(flat.reshape(-1, BLOCK).T)
         out = np.zeros((len(documents), len(self.names)), np.int64)
-        for k, (table, go, cost) in enumerate(self.tables):
+        for k, (table, go, cost, keys, targets) in enumerate(self.tables):
             state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for column in grid:
-                following = table.take(state * np.int32(self.width) + column)
+                if self.codes == self.width:
+                    following = table.take(state * np.int32(self.width) + column)
+                else:
+                    rare = np.flatnonzero(column >= self.width)
+                    following = table.take(state * np.int32(self.width) + np.where(column < self.width, column, OTHER))
+                    wanted = state[rare].astype(np.int64) * self.codes + column[rare]
+                    at = np.searchsorted(keys, wanted)
+                    following[rare] = np.where(keys[at] == wanted, targets[at], -1)
                 missed = np.flatnonzero(following < 0)
                 if len(missed):
                     code = column[missed]
