@@ -318,6 +318,14 @@ def test_languages_with_many_letters():
     assert found.tolist() == [[phrases(t, samples[lang]) for lang in sorted(samples)] for t in texts]
 
 
+def test_language_sample_takes_all_chosen_rows(spark):
+    marks = [chr(0x4E00 + i) for i in range(40)]
+    docs = docs_of(spark, [m * 3000 + m.join(["b"] * 3000) for m in marks])
+    got = language_id.sample(docs, F.lit(True), sample_chars=4000)["en"]
+    assert 3900 <= len(got) <= 4000 and set(marks) <= set(got) and "b" in got
+    assert language_id.even_pieces([(1, "ab"), (2, "c" * 50), (3, "d" * 50)], 45) == "\n".join(["ab", "c" * 20, "d" * 20])
+
+
 # --- 8: search
 
 

@@ -7,7 +7,9 @@ language that needs the fewest phrases for each letter wins; the score is one mi
 its phrases to the runner-up's. Letters are lower-cased, all else counts as a single space.
 
 The automata come from a bounded sample: about `sample_rows` labelled rows a language, chosen by
-a hash of their ids, and at most `sample_chars` characters; their tables are the only
+a hash of their ids, and at most `sample_chars` characters. All chosen rows are learned from, each
+with a piece from anywhere in its text, of `piece_chars` characters at most and in shares as even as the
+texts' lengths allow: 119 characters of each of 200 long texts. Their tables are the only
 thing that is broadcast, and their size does not depend on the corpus. Every letter of the samples
 has a code: transitions by the commonest lie in a dense table, those by all others in a sorted
 list of pairs of state and code. Every whole text is
@@ -21,6 +23,7 @@ empty text in the fold; an empty table gives an empty table; other columns are i
 
 from __future__ import annotations
 
+import random
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -167,11 +170,26 @@ class CrossParser:
         return [self.names[b] if k else "und" for b, k in zip(best, known, strict=True)], score
 
 
-def sample(docs: DataFrame, learn: Column, sample_rows: int = 200, sample_chars: int = 24_000) -> dict[str, str]:
+def even_pieces(texts: list[tuple[int, str]], chars: int) -> str:
+    """Of each (seed, text) a piece at a random place, in even shares of `chars` characters; what short texts leave goes to the others."""
+    left, share = max(0, chars - len(texts)), 0
+    for k, n in enumerate(sorted(len(t) for _, t in texts)):
+        share = left // (len(texts) - k)
+        if n > share:
+            break
+        share, left = n, left - n
+    pieces = []
+    for seed, t in texts:
+        start = random.Random(seed).randrange(max(1, len(t) - share + 1))
+        pieces.append(t[start : start + share])
+    return "\n".join(pieces)[:chars]
+
+
+def sample(docs: DataFrame, learn: Column, sample_rows: int = 200, sample_chars: int = 24_000, piece_chars: int = 3_000) -> dict[str, str]:
     """Labelled text of each language: about `sample_rows` rows by the hash of their ids, `sample_chars` characters at most.
 
     One count a language comes to the driver, where each has an automaton anyway; so rows are chosen in
-    the scan, and only the sample is shuffled.
+    the scan, and only their pieces are shuffled.
     """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in rows.groupBy("lang").count().collect()}
@@ -179,11 +197,13 @@ def sample(docs: DataFrame, learn: Column, sample_rows: int = 200, sample_chars:
         return {}
     share = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair))[F.col("lang")]
     pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    chosen = rows.filter(pick <= share * (1 << 30)).select("lang", pick.alias("pick"), F.substring("text", 1, sample_chars // 8).alias("text"))
-    texts: dict[str, list[str]] = {}
+    seed = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language piece")), F.lit(1 << 30)).cast("int")
+    piece = F.substr(F.col("text"), seed % F.greatest(F.char_length("text") - (piece_chars - 1), F.lit(1)) + 1, F.lit(piece_chars))
+    chosen = rows.filter(pick <= share * (1 << 30)).select("lang", pick.alias("pick"), seed.alias("seed"), piece.alias("text"))
+    texts: dict[str, list[tuple[int, str]]] = {}
     for r in chosen.orderBy("lang", "pick", "text").collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(t)[:sample_chars] for lang, t in texts.items()}
+        texts.setdefault(r["lang"], []).append((r["seed"], r["text"]))
+    return {lang: even_pieces(t, sample_chars) for lang, t in texts.items()}
 
 
 def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
