@@ -382,6 +382,15 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def test_toxicity_of_few_labels(spark):
+    rows, labels = toxic_rows(60)
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame(labels[:30], "doc_id bigint, quality int, toxic int")
+    few = toxicity.train(docs, marks, F.lit(True))
+    assert few.trees is None and {r["score"] for r in toxicity.score(docs, few).collect()} == {5 / 30}
+    assert toxicity.train(docs, marks, F.lit(True), least_labels=30).trees is not None
+
+
 def test_isotonic_is_monotone_and_least_squares():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 20, 200).astype(float)

@@ -8,7 +8,7 @@ features; a part of the sample that no tree has seen fits the isotonic curve. Wh
 texts are read once to be scored, without any shuffle.
 
 Defined cases: null text counts as empty, and an empty text gets the score of its features; where
-there are no labels, or of one kind only, the score is the share of toxic labels (0 without
+there are fewer than `LEAST_LABELS` usable labels, or of one kind only, the score is the share of toxic labels (0 without
 any); a document labelled twice counts as toxic if one label says so; a null id counts as
 empty text in the fold; repeated rows are scored each on its own; an empty table gives an
 empty table; other columns are ignored.
@@ -28,6 +28,8 @@ SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 256
 #: Least toxic documents of a lexicon word, and least excess over the toxic share in standard deviations.
 LEXICON_DOCUMENTS, LEXICON_Z = 5, 7.0
+#: Fewer usable labels train no trees: hardly a word can reach `LEXICON_Z` in them.
+LEAST_LABELS = 50
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú ti usted ustedes vosotros su sus".split())
 #: Stand-ins of letters in obfuscated words.
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -239,14 +241,14 @@ def _with_features(rows: DataFrame, lexicon: dict[str, float], model: ToxicityMo
     return rows.select(*keys, "text").mapInArrow(run, made)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, least_labels: int = LEAST_LABELS) -> ToxicityModel:
     """`learn`: which labels may be used, a condition on their doc_id."""
     sample = _sampled(docs, labels, learn, rows)
     lexicon = learn_lexicon(sample)
     found = sorted(_with_features(sample, lexicon).collect(), key=lambda r: (r["doc_id"], r["x"]))  # `rows` rows at most
     y = np.array([r["toxic"] for r in found], np.float64)
     share = float(y.mean()) if len(y) else 0.0
-    if len(y) < 50 or share in (0.0, 1.0):
+    if len(y) < least_labels or share in (0.0, 1.0):
         return ToxicityModel(lexicon, None, None, share)
     x = np.array([r["x"] for r in found])
     held = np.array([(r["doc_id"] * 2654435761 >> 8) % CALIBRATION_PARTS == 0 for r in found])
