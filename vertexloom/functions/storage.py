@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import StorageError
+
 
 @functools.cache
 def _local_folder() -> str:
@@ -18,8 +21,13 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """spark.checkpoint.dir; where that is unset, a folder of this machine, and only if the executors run in it too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise StorageError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local_folder()
 
 
 def own_folder(spark: SparkSession) -> str:
@@ -32,7 +40,9 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
 
 
 def _path(spark: SparkSession, path: str):
@@ -51,10 +61,10 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def discard_table(df: DataFrame) -> None:
-    """Removes the folder of a table made by `durable`; nothing may read it any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/vertexloom/" in folder:
-            discard(df.sparkSession, folder)
+    """Removes the folder of a table that `durable` returned; nothing may read it any more."""
+    path = vars(df).get("_durable_path")
+    if path:
+        discard(df.sparkSession, path)
 
 
 def discard_all(spark: SparkSession) -> None:
@@ -63,15 +73,18 @@ def discard_all(spark: SparkSession) -> None:
 
 
 def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
-    """The whole file at once: written aside, then renamed over the old one."""
+    """The whole file at once: written aside, then renamed over the old one, which is there until the new one is."""
     aside, fs = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     target, _ = _path(spark, path)
     out = fs.create(aside, True)
     out.write(raw)
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(f"cannot write {path}")
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
