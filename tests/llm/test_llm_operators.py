@@ -467,19 +467,48 @@ def test_jaccard_with_common_signatures(spark):
     """Runs dealt by node: with many parts, and with all of a run in one part."""
     texts = near_copies(7, 4, 60)
     want = classes(texts)
-    named = jaccard_join.name_documents(docs_of(spark, texts))
-    for least, bucket in ((3, 300), (12, 10**6)):
-        hot, often = jaccard_join.hot_cells(named, least)
+    named = jaccard_join.name_documents(docs_of(spark, texts), 1)
+    for least, bucket, one_in in ((3, 300, 1), (12, 10**6, 1)):
+        hot, often = jaccard_join.hot_cells(named, least, one_in)
         assert hot.any() and often > 0
-        got = by_id(jaccard_join.join_classes(docs_of(spark, texts), bucket, least))
+        got = by_id(jaccard_join.join_classes(docs_of(spark, texts), bucket, least, one_in))
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def test_jaccard_of_texts_that_share_most_of_a_passage(spark):
+    """Sets in many long runs, of which some link: their rarest features meet in blocks of a few holders."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(80)]
+    texts = []
+    for _ in range(90):
+        own = [f"o{rng.randrange(60)}" for _ in range(rng.choice([4, 8, 12, 16, 24]))]
+        at = rng.randrange(2) * 80
+        texts.append(" ".join(passage[:at] + own + passage[at:]))
+    want = classes(texts)
+    assert 1 < len({c for _, c in want.values()}) < len(texts)
+    got = by_id(jaccard_join.join_classes(docs_of(spark, texts), block_holders=4))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+
+
+def test_shingles_of_long_words_and_texts(monkeypatch):
+    """Bytes are hashed in steps, within words too."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \n") for _ in range(3000)), "x" * 9000 + " y", "x" * 9000 + " y z", "x" * 8999 + "w y"]
+    whole = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "STEP", 64)
+    steps = shingles.word_hashes([t.encode() for t in texts])
+    assert all((a == b).all() for a, b in zip(whole, steps, strict=True))
+    assert len(whole[0]) == sum(len(t.split()) for t in texts) and whole[0][-2] != whole[0][-4]
+
+
 def test_jaccard_of_nothing_and_of_repeated_rows(spark):
     assert jaccard_join.join_classes(docs_of(spark, [])).count() == 0
     twice = docs_of(spark, ["a b c d e f"]).unionAll(docs_of(spark, ["a b c d e f"]))
     assert [(r["doc_id"], r["component_id"]) for r in jaccard_join.join_classes(twice).collect()] == [(0, 0), (0, 0)]
     assert jaccard_join.keep_one(twice).count() == 1
+    clash = docs_of(spark, ["a b c d e f", "a b c d e f", None]).withColumns({"kept_id": F.lit(7), "TEXT_HASH": F.lit("x"), "node": F.lit(1)})
+    kept = jaccard_join.keep_one(clash.unionAll(clash))
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
 
 
 def test_linked_sets_share_a_signature():

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bit_sliced, bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality, secrets, toxicity
 from .common import crc32_mod, table
 
-TOKENIZERS = os.environ.get("VERTEXLOOM_TOKENIZERS", "/opt/tokenizers")
-
 
 def vocabulary(name: str) -> str:
-    try:
-        import public_tokenizers
+    """The path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join(TOKENIZERS, name)
+    return public_tokenizers.path(name)
 
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -153,6 +147,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT links.b, r.seen FROM r JOIN links ON links.a = r.doc_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all vectors for every vector whose id is divisible by 100."""
     return bit_sliced.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
@@ -172,4 +181,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op3_best_fit_packing": op3_best_fit_packing, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_line_dedup": op6_line_dedup, "op7_language_id": op7_language_id, "op9_toxicity": op9_toxicity, "op10_jaccard_join": op10_jaccard_join, "op8_topk_search": op8_topk_search}
-ORACLES = {"op1_chat_format": OP1_SQL, "op6_line_dedup": OP6_SQL, "op8_topk_search": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op6_line_dedup": OP6_SQL, "op8_topk_search": OP8_SQL, "op10_jaccard_join": OP10_SQL}
