@@ -214,6 +214,64 @@ def test_quality_rejects_menus(spark):
     assert all(quality.CUTOFF < got[i]["d2"] < 60 for i in range(200, 208))
 
 
+def mcd(x, floor):
+    """The same estimate in numpy, on exact quantiles."""
+    k = x.shape[1]
+    centre, scale = np.median(x, 0), np.maximum((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349, floor)
+    z = (x - centre) / scale
+    starts = [np.diag(scale**2)]
+    for v in (z / np.sqrt(np.maximum((z**2).sum(1, keepdims=True), 1e-12)), np.tanh(z)):
+        c = v.T @ v / len(v)
+        c = c / np.sqrt(np.maximum(np.outer(np.diag(c), np.diag(c)), 1e-12))
+        np.fill_diagonal(c, 1.001)
+        starts.append(c * np.outer(scale, scale))
+    d2 = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    found = []
+    for c in starts:
+        m = centre
+        for _ in range(quality.STEPS):
+            d = d2(m, c)
+            core = x[d <= np.sort(d)[int(np.ceil(quality.H * len(d))) - 1]]
+            m, c = core.mean(0), quality.CONSISTENCY * np.cov(core.T, bias=True) + np.diag(floor**2)
+        found.append((np.linalg.det(c), m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    near = x[d2(m, c) <= quality.NEAR]
+    return d2(near.mean(0), quality.NEAR_CONSISTENCY * np.cov(near.T, bias=True) + np.diag(floor**2))
+
+
+@pytest.mark.parametrize("salt_rows", [50_000, 60])
+def test_quality_estimates_equal_numpy(spark, salt_rows):
+    """Groups of correlated statistics, one of them with a fifth of outliers, one too small and pooled with another."""
+    rng = random.Random(31)
+    rows, i = [], 0
+    for lang, n, dirty in (("aa", 240, 0.2), ("bb", 150, 0.0), ("cc", 12, 0.0), (None, 9, 0.0)):
+        for k in range(n):
+            size = rng.randrange(25, 300)
+            words = ["".join(rng.choice("abcdef") for _ in range(1 + rng.randrange(3 + size // 40))) for _ in range(size)]
+            if k < dirty * n:
+                words = [w + "|#" * (1 + rng.randrange(2)) for w in words]
+            rows.append((i, " ".join(words), lang, "s", 0, 1, 2))
+            i += 1
+    got = by_id(quality.judge(spark.createDataFrame(rows, DOCS), salt_rows=salt_rows))
+    features = {r[0]: (np.log(s[0]), np.log(s[1] / s[0]), np.sqrt(s[2] / s[0]), np.sqrt(s[4] / s[0])) for r in rows for s in [statistics(r[1])] if not got[r[0]]["base_failed"]}
+    floor = np.array(list(quality.FEATURES.values()))
+    for langs in (("aa",), ("bb",), ("cc", None)):
+        ids = [r[0] for r in rows if r[2] in langs and r[0] in features]
+        want = mcd(np.array([features[i] for i in ids]), floor)
+        assert np.allclose([got[i]["d2"] for i in ids], want, rtol=0.08, atol=0.15)
+        sure = np.abs(want / quality.CUTOFF - 1) > 0.08
+        assert [got[i]["kept"] for i, s in zip(ids, sure, strict=True) if s] == (want <= quality.CUTOFF)[sure].tolist()
+    assert not any(got[i]["kept"] for i in range(48)) and sum(got[i]["kept"] for i in range(48, 240)) >= 180
+
+
+def test_quality_of_odd_rows(spark):
+    """Null ids, repeated rows, ties, and columns named as inner ones."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = docs_of(spark, [text] * 5).withColumns({"g": F.lit(1), "h": F.lit("x"), "n_symbols": F.lit(9), "salt": F.lit(2)}).withColumn("doc_id", F.lit(None).cast("bigint"))
+    got = quality.judge(docs).collect()
+    assert len(got) == 5 and all(r["kept"] and r["n_symbols"] == 0 for r in got)
+
+
 # --- 6: line dedup
 
 
