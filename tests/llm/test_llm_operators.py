@@ -156,9 +156,10 @@ def test_secrets(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(300)] + ["", None, "token=token:abcdef", "f" * 60_000, "same token=abcdefg"] * 2
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     key = "".join(rng.choice(alphabet) for _ in range(40))
+    texts = [" ".join(rng.choice(["some", "plain", "words", "of", "text", "and", "names", "here"]) for _ in range(30)) for _ in range(120)] + texts
     texts += [f"see {key} here", "plain words only and a-hyphenated-compound-word-of-letters", "a1" * 20 + " is regular"]
     docs = docs_of(spark, texts)
-    limits = secrets.fdr_thresholds(docs)
+    limits = secrets.fdr_thresholds(docs_of(spark, texts[:120] + texts[-3:]))
     found = secrets.scan(docs, limits)
     got = by_id(found.select("doc_id", secrets.written(F.filter("spans", lambda s: s["kind"] < 3)).alias("base"), secrets.written(F.col("spans")).alias("all"), secrets.redact(F.col("text"), F.col("spans")).alias("clean")))
     for i, text in enumerate(texts):
@@ -171,6 +172,44 @@ def test_secrets(spark):
     assert secrets.scan(docs_of(spark, []), limits).count() == 0
 
 
+SEGMENTS = "usr local lib python3 src main java com example Service HttpClient2 v1 index 2024 01 15 data user_id test config UTF8 sha256 x86_64 linux node_modules build Release42".split()
+
+
+def test_random_spans_are_keys(spark):
+    """Planted keys of each encoding and length are found, ordinary names and paths are left; none is reported where there is no key."""
+    rng = random.Random(16)
+    prose = "the quick brown fox jumps over lazy dogs while seven wizards mix black potions near quiet rivers under bright moons and warm winds".split()
+    alphabets = ["0123456789ABCDEF", secrets.ALPHABETS["base32"], secrets.ALPHABETS["base64"]]
+    texts, keys, paths = [], [], []
+    for i in range(1600):
+        words = [rng.choice(prose) for _ in range(60)]
+        path = ""
+        while len(path) < rng.choice([20, 22, 24, 28, 34, 40, 60]):
+            path += rng.choice(SEGMENTS) + rng.choice("/_-")
+        words[30] = path + "x1"
+        paths.append((i, len(words[30])))
+        if i < 800:
+            n = rng.choice([20, 22, 24, 28, 34, 40, 60, 100])
+            key = "".join(rng.choice(alphabets[i % 3]) for _ in range(n - 2)) + "A7"
+            keys.append((i, n, i % 3))
+            words[10] = key
+        texts.append(" ".join(words))
+    docs = docs_of(spark, texts)
+    spans = {i: [s["start"] for s in r["spans"] if s["kind"] == 3] for i, r in by_id(secrets.scan(docs, secrets.fdr_thresholds(docs))).items()}
+    at = lambda i, k: len(" ".join(texts[i].split(" ")[:k])) + 1
+    for code in range(3):
+        for lengths in ((20, 22, 24), (28, 34, 40), (60, 100)):
+            mine = [i for i, n, c in keys if c == code and n in lengths]
+            assert np.mean([at(i, 10) in spans[i] for i in mine]) >= 0.85, (code, lengths)
+    assert np.mean([at(i, 10) in spans[i] for i, _, _ in keys]) >= 0.92
+    false = [n for i, n in paths if at(i, 30) in spans[i]]
+    assert len(false) <= 1.5 * secrets.RATE * sum(map(len, spans.values()))
+    short = [n for _, n in paths if n <= 24]
+    assert sum(n <= 24 for n in false) <= 2 * secrets.RATE * len(short)
+    plain = docs_of(spark, texts[800:])
+    assert secrets.scan(plain, secrets.fdr_thresholds(plain)).select(F.explode("spans").alias("s")).filter("s.kind = 3").count() <= 8
+
+
 # --- 5: quality
 
 

@@ -9,13 +9,20 @@ the text itself are first replaced, one for one, by another that no pattern acce
 The battery adds spans of kind ``random``. Candidates are runs of 20 characters or more of the
 encodings' alphabets that hold a digit and a letter. Each has its encoding inferred (hex,
 base32, base64) and is tested, as a sequence of the encoding's values, for uniformity
-(chi-squared over equal classes), for runs above and below the middle, and for serial
-correlation. The smallest p-value times three tests "random in its encoding". Within each
-length band, the Benjamini-Hochberg rule says which candidates are not random, at the
-given false discovery rate over the whole corpus: longer strings have more power, and are
-judged among their like. What remains is random, and a secret, unless a base span overlaps it.
-The rule needs ranks only up to classes of p; so the corpus is reduced to a table of at most
-`BANDS` x `CLASSES` counts, and the thresholds are one number a band.
+(chi-squared over classes of the alphabet that ordinary words fill unevenly), for runs above and
+below the middle, and for serial correlation. Three times the smallest p-value is its score: a random
+string's is spread over 0 to 1, an ordinary one's lies near 0, the more so the longer it is.
+
+The hypothesis that a candidate must overcome is "ordinary text of this corpus". Its law is counted in
+each length band from stand-ins: from words of each whole text, joined like identifiers and paths,
+with numbers, a string a band and document. In a band with encoding, the candidates above a score
+are reported for the lowest score at which the ordinary ones expected there (all candidates of the
+band times the part of stand-ins that score as high in that encoding) are no more than the given
+share of them: the Benjamini-Hochberg rule, on p-values from the stand-ins. Short strings have less
+power, and are judged among their like; where no score bounds the false ones, the band abstains.
+A span that a base span overlaps is not reported. Scores are counted in classes, so the corpus
+is reduced to `BANDS` x 3 x `CLASSES` counts of either sort, and the thresholds are a number a
+band and encoding.
 
 Defined cases: null text counts as empty and has no spans; rows that repeat are scanned each
 on its own; an empty table gives an empty table; other columns are passed by or kept as they are.
@@ -23,7 +30,7 @@ on its own; an empty table gives an empty table; other columns are passed by or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let
@@ -44,9 +51,18 @@ ALPHABETS = {
 #: Upper ends of the length bands; the last band is open.
 BAND_ENDS = (24, 32, 40, 48, 64, 96, 128)
 BANDS = len(BAND_ENDS) + 1
-#: Classes of -8 log2(p) that p-values are counted in.
+#: Classes of -8 log2(p) that scores are counted in.
 CLASSES = 400
-CHI_CLASSES = 8
+#: Classes of each alphabet for the chi-squared test.
+CHI_SETS = {
+    "hex": ("01", "23", "45", "67", "89", "ab", "cd", "ef"),
+    "base32": ("AEIOU", "LNRST", "BCDFGHJKMPQVWXYZ", "234567"),
+    "base64": ("aeiou", "lnrst", "bcdfghjkmpqvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789+/"),
+}
+#: Part of the reported random spans that may be ordinary text.
+RATE = 0.05
+#: What words of stand-ins are joined with.
+JOINTS = ("/", "_", "-", "=")
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -103,22 +119,35 @@ def _normal_tail(z: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(1e-300), F.exp(-z * z / 2) * 0.3989422804014327 * poly))
 
 
+def _chi_squared(text: Column, name: str) -> Column:
+    """p-value of equal use of the alphabet, by its classes."""
+    n, sets = F.char_length(text).cast("double"), CHI_SETS[name]
+    terms = []
+    for letters in sets:
+        expected = n * len(letters) / len(ALPHABETS[name])
+        gap = n - F.char_length(F.translate(text, letters, "")) - expected
+        terms.append(gap * gap / expected)
+    df = len(sets) - 1
+    z = (F.pow(sum(terms[1:], terms[0]) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    return F.when(z >= 0, _normal_tail(F.abs(z))).otherwise(1 - _normal_tail(F.abs(z)))
+
+
 def _battery(s: Column) -> Column:
-    """p-value of "random in the encoding inferred for `s`"."""
-    core = F.regexp_replace(F.regexp_replace(s, "=+$", ""), "[-_]", "+")
-    is_hex = F.rlike(core, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
-    is_32 = F.rlike(core, F.lit("^[A-Z2-7]+$"))
-    encoding = F.when(is_hex, 0).when(is_32, 1).otherwise(2)
+    """Struct of the encoding inferred for `s`, as its place in `ALPHABETS`, and the class of its score."""
+    core = F.regexp_replace(F.regexp_replace(s, "=+$", ""), "[-_=]", "+")
+    names = list(ALPHABETS)
+
+    def inferred(core: Column) -> Column:
+        return F.when(F.rlike(core, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), 0).when(F.rlike(core, F.lit("^[A-Z2-7]+$")), 1).otherwise(2)
 
     def tests(e: Column) -> Column:
-        text, alphabet, k = e["text"], e["alphabet"], e["k"]
+        text, code = e["text"], e["code"]
+        k = F.when(code == 0, 16.0).when(code == 1, 32.0).otherwise(64.0)
+        alphabet = F.when(code == 0, ALPHABETS[names[0]]).when(code == 1, ALPHABETS[names[1]]).otherwise(ALPHABETS[names[2]])
+        uniform = F.when(code == 0, _chi_squared(text, names[0])).when(code == 1, _chi_squared(text, names[1])).otherwise(_chi_squared(text, names[2]))
 
         def of(v: Column) -> Column:
             n = F.size(v).cast("double")
-            counts = F.transform(F.sequence(F.lit(0), F.lit(CHI_CLASSES - 1)), lambda b: F.size(F.filter(v, lambda x: F.floor(x * CHI_CLASSES / k) == b)))
-            chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c - n / CHI_CLASSES) * (c - n / CHI_CLASSES)) * CHI_CLASSES / n
-            df = CHI_CLASSES - 1
-            z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
 
             def rest(x: Column) -> Column:
                 return F.struct(
@@ -128,36 +157,36 @@ def _battery(s: Column) -> Column:
                     F.size(F.filter(v, lambda y: y * 2 >= k)).cast("double").alias("high"),
                 )
 
-            def p_values(r: Column) -> Column:
+            def score(r: Column) -> Column:
                 low = n - r["high"]
                 mid = 2 * r["high"] * low / n + 1
                 spread = (mid - 1) * (mid - 2) / (n - 1)
                 z_runs = F.when(spread > 0, F.abs(r["runs"] - mid) / F.sqrt(spread)).otherwise(F.lit(10.0))
                 z_serial = F.when(r["var"] > 0, F.abs(r["cov"] / r["var"]) * F.sqrt(n)).otherwise(F.lit(10.0))
                 two = lambda z: F.least(F.lit(1.0), 2 * _normal_tail(z))
-                upper = F.when(z_chi >= 0, _normal_tail(F.abs(z_chi))).otherwise(1 - _normal_tail(F.abs(z_chi)))
-                return F.least(F.lit(1.0), 3 * F.least(upper, two(z_runs), two(z_serial)))
+                return F.least(F.lit(1.0), 3 * F.least(uniform, two(z_runs), two(z_serial)))
 
             pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
             given = F.struct((F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n).alias("mean"), pairs.alias("pairs"))
-            return let(let(given, rest), p_values)
+            return let(let(given, rest), score)
 
         values = F.transform(F.split(text, "(?!^)(?!$)"), lambda c: (F.position(c, alphabet) - 1).cast("double"))
-        return F.when(F.char_length(text) >= 8, let(values, of)).otherwise(F.lit(0.0))
+        p = F.when(F.char_length(text) >= 8, let(values, of)).otherwise(F.lit(0.0))
+        klass = F.least(F.lit(CLASSES - 1), F.floor(-8 * F.log2(F.greatest(p, F.lit(1e-300))))).cast("int")
+        return F.struct(code.alias("code"), klass.alias("klass"))
 
-    def of_encoding(code: Column) -> Column:
-        names = list(ALPHABETS)
-        return F.struct(
-            F.when(code == 0, F.lower(core)).otherwise(core).alias("text"),
-            F.when(code == 0, ALPHABETS[names[0]]).when(code == 1, ALPHABETS[names[1]]).otherwise(ALPHABETS[names[2]]).alias("alphabet"),
-            F.when(code == 0, 16.0).when(code == 1, 32.0).otherwise(64.0).alias("k"),
-        )
+    def of_core(core: Column) -> Column:
+        return let(inferred(core), lambda code: let(F.struct(F.when(code == 0, F.lower(core)).otherwise(core).alias("text"), code.alias("code")), tests))
 
-    return let(of_encoding(encoding), tests)
+    return let(core, of_core)
+
+
+def _mixed(piece: Column) -> Column:
+    return F.rlike(piece, F.lit("[0-9]")) & F.rlike(piece, F.lit("[A-Za-z]"))
 
 
 def candidates(text: Column) -> Column:
-    """array<start, end, band, p> of a text without marks."""
+    """array<start, end, band, code, klass> of a text without marks."""
     runs = _spans(F.regexp_replace(text, CANDIDATE, "\x01$0\x03"), 3, 20)
 
     def judge(c: Column) -> Column:
@@ -165,47 +194,75 @@ def candidates(text: Column) -> Column:
         band = F.lit(0)
         for end in BAND_ENDS:
             band = band + F.when(size > end, 1).otherwise(0)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), band.alias("band"), c["p"].alias("p"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), band.alias("band"), c["score"]["code"].alias("code"), c["score"]["klass"].alias("klass"))
 
     def judged(spans: Column) -> Column:
         pieces = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
         both = F.zip_with(spans, pieces, lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("text")))
-        mixed = F.filter(both, lambda b: F.rlike(b["text"], F.lit("[0-9]")) & F.rlike(b["text"], F.lit("[A-Za-z]")))
-        scored = F.transform(mixed, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), _battery(b["text"]).alias("p")))
+        scored = F.transform(F.filter(both, lambda b: _mixed(b["text"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), _battery(b["text"]).alias("score")))
         return F.transform(scored, judge)
 
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,band:int,p:double>>)")
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,band:int,code:int,klass:int>>)")
     return F.when(F.rlike(text, F.lit(CANDIDATE)), let(runs, judged)).otherwise(none)
 
 
-def fdr_thresholds(docs: DataFrame, rate: float = 0.05) -> list[int]:
-    """For each band, the lowest class of p that is rejected as not random; CLASSES where none is."""
-    found = docs.select(F.explode(candidates(_clean(F.col("text")))).alias("c")).select(
-        F.col("c.band").alias("band"), F.least(F.lit(CLASSES - 1), F.floor(-8 * F.log2(F.greatest(F.col("c.p"), F.lit(1e-300))))).cast("int").alias("klass")
-    )
-    counts = found.groupBy("band", "klass").count()
-    below = Window.partitionBy("band").orderBy(F.desc("klass"))
-    whole = Window.partitionBy("band")
-    # all of class k have p <= 2^(-k/8); as many as stand in it and beyond are rejected with it
-    ruled = counts.select("band", "klass", F.sum("count").over(below).alias("ranks"), F.sum("count").over(whole).alias("tests"))
-    rejected = ruled.filter(F.pow(F.lit(2.0), -F.col("klass") / 8) <= rate * F.col("ranks") / F.col("tests"))
-    lowest = {r["band"]: r["k"] for r in rejected.groupBy("band").agg(F.min("klass").alias("k")).collect()}  # BANDS rows at most
-    return [lowest.get(b, CLASSES) for b in range(BANDS)]
-
-
-def scan(docs: DataFrame, thresholds: list[int]) -> DataFrame:
-    """Adds spans array<start, kind, end>, sorted by start, then kind."""
+def stand_ins(text: Column) -> Column:
+    """array<band, text>: of each band a string like an identifier or a path, of words from all over the text, with numbers."""
+
+    def made(words: Column) -> Column:
+        n = F.size(words)
+
+        def of(k: int, size: Column, seed: Column) -> Column:
+            def piece(i: Column) -> Column:
+                word = F.get(words, F.pmod(seed + i * F.greatest(F.floor(n / k), F.lit(1)), n).cast("int"))
+                draw = F.pmod(F.xxhash64(seed, i), F.lit(1 << 20)).cast("int")
+                cased = F.when(draw % 3 == 0, F.initcap(word)).otherwise(word)
+                number = F.when(F.floor(draw / 3) % 2 == 0, (F.floor(draw / 6) % F.element_at(F.array(*(F.lit(10**d) for d in range(1, 5))), (F.floor(draw / 64) % 4 + 1).cast("int"))).cast("string")).otherwise("")
+                return F.concat(cased, number, F.element_at(F.array(*map(F.lit, JOINTS)), (F.floor(draw / 7) % len(JOINTS) + 1).cast("int")))
+
+            return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), piece), ""), F.lit(1), size)
+
+        def one(band: int, begin: int, end: int):
+            return lambda seed: F.struct(F.lit(band).alias("band"), of(-(-end // 3), (begin + 1 + seed % (end - begin)).cast("int"), seed).alias("text"))
+
+        ends = (19, *BAND_ENDS, 192)
+        out = [let(F.pmod(F.xxhash64(F.get(words, 0), n, F.lit(band)), F.lit(1 << 20)), one(band, ends[band], ends[band + 1])) for band in range(BANDS)]
+        return F.when(n >= 8, F.array(*out))
+
+    return let(F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9])[A-Za-z0-9]{2,15}(?![A-Za-z0-9])"), F.lit(0)), made)
+
+
+def fdr_thresholds(docs: DataFrame, rate: float = RATE) -> list[int]:
+    """For each band and encoding, the highest class of scores that is reported; -1 where none is."""
+    text = _clean(F.col("text"))
+    each = docs.select(F.explode(candidates(text)).alias("c")).select(F.lit(1).alias("real"), "c.band", "c.code", "c.klass")
+    words = docs.select(F.explode(stand_ins(text)).alias("c")).select("c.band", F.col("c.text").alias("piece"))
+    ordinary = words.filter((F.char_length("piece") >= 20) & _mixed(F.col("piece"))).select(F.lit(0).alias("real"), "band", _battery(F.col("piece")).alias("b")).select("real", "band", "b.code", "b.klass")
+    counts = each.unionByName(ordinary).groupBy("real", "band", "code", "klass").count().collect()  # 2 x BANDS x 3 x CLASSES rows at most
+    n = {(r["real"], r["band"], r["code"], r["klass"]): r["count"] for r in counts}
+    limits = []
+    for band in range(BANDS):
+        total = [sum(v for k, v in n.items() if k[:2] == (real, band)) for real in (0, 1)]
+        for code in range(len(ALPHABETS)):
+            best, found, like = -1, 0, 0
+            for klass in range(CLASSES):  # from the highest score down
+                found += n.get((1, band, code, klass), 0)
+                like += n.get((0, band, code, klass), 0)
+                if found and total[1] * (like + 1) / (total[0] + 1) <= rate * found:
+                    best = klass
+            limits.append(best)
+    return limits
+
+
+def scan(docs: DataFrame, thresholds: list[int], name: str = "spans") -> DataFrame:
+    """Adds the column `name`, array<start, kind, end>, sorted by start, then kind."""
     limits = F.array(*map(F.lit, thresholds))
 
     def both(base: Column, text: Column) -> Column:
-        clear = F.filter(
-            candidates(text),
-            lambda c: (F.least(F.lit(CLASSES - 1), F.floor(-8 * F.log2(F.greatest(c["p"], F.lit(1e-300))))) < F.get(limits, c["band"])) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-        )
+        clear = F.filter(candidates(text), lambda c: (c["klass"] <= F.get(limits, c["band"] * len(ALPHABETS) + c["code"])) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
         return F.concat(base, F.transform(clear, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"))))
 
-    spans = let(_clean(F.col("text")), lambda t: let(base_spans(t), lambda b: F.sort_array(both(b, t))))
-    return docs.withColumn("spans", spans)
+    return docs.withColumn(name, let(_clean(F.col("text")), lambda t: let(base_spans(t), lambda b: F.sort_array(both(b, t)))))
 
 
 def written(spans: Column) -> Column:
