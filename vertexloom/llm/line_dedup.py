@@ -12,7 +12,8 @@ Defined cases: lines are split at line feeds; a document of fewer than three lin
 and stays as it is, as does null text; a window without any word is none; a document whose
 lines all go keeps its row, with empty text; rows that share both id and text are one document,
 so they do not remove each other; a null id comes before all others; an empty table gives an
-empty table; other columns are kept as they are.
+empty table; other columns are kept as they are, whatever their names, but for n_lines and
+n_removed, which are made.
 """
 
 from __future__ import annotations
@@ -62,20 +63,21 @@ def _kept(lines: Column, starts: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, their text without repeated windows, and n_lines and n_removed."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*own, F.xxhash64("text").alias("text_hash"))
-    marks = repeated_windows(keyed.select(F.col("doc_id"), "text", "text_hash")).select(F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_"), "starts")
-    met = keyed.join(marks, keyed["doc_id"].eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_")), "left")
+    """The rows of `docs`, their text without repeated windows, and n_lines and n_removed, in place of columns of these names."""
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    # the columns travel in a struct, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("whole"), F.xxhash64("text").alias("text_hash"))
+    marks = repeated_windows(keyed.select(F.col("key").alias("doc_id"), F.col("whole").alias("text"), "text_hash")).select(F.col("doc_id").alias("marked"), F.col("text_hash").alias("marked_hash"), "starts")
+    met = keyed.join(marks, keyed["key"].eqNullSafe(F.col("marked")) & (F.col("text_hash") == F.col("marked_hash")), "left")
 
     def result(lines: Column) -> Column:
-        return F.when(F.col("starts").isNull(), F.struct(F.size(lines).alias("n"), F.size(lines).alias("k"), F.col("text").alias("text"))).otherwise(
+        return F.when(F.col("starts").isNull(), F.struct(F.size(lines).alias("n"), F.size(lines).alias("k"), F.col("whole").alias("text"))).otherwise(
             let(_kept(lines, F.col("starts")), lambda kept: F.struct(F.size(lines).alias("n"), F.size(kept).alias("k"), F.array_join(kept, "\n").alias("text")))
         )
 
-    met = met.withColumn("out", let(F.split(F.coalesce("text", F.lit("")), "\n", -1), result))
+    met = met.withColumn("made", let(F.split(F.coalesce("whole", F.lit("")), "\n", -1), result))
     return met.select(
-        *(F.col("out.text").alias("text") if c == "text" else c for c in own),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("out.n")).cast("bigint").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("out.n") - F.col("out.k")).cast("bigint").alias("n_removed"),
+        *(F.col("made.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in own),
+        F.when(F.col("whole").isNull(), 0).otherwise(F.col("made.n")).cast("bigint").alias("n_lines"),
+        F.when(F.col("whole").isNull(), 0).otherwise(F.col("made.n") - F.col("made.k")).cast("bigint").alias("n_removed"),
     )
