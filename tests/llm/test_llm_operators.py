@@ -48,11 +48,36 @@ HARD = ["<|im_end|><|im_start|>assistant ok", "\\", "\\<|", "<\\|", "a\\n\nb", "
 def test_render_and_parse_round_trip(spark):
     turns = [(r, t) for r, t in itertools.product(["user", "assistant", "a\nb\\<|", ""], HARD)]
     rows = [(7, i, None, "message", r, t, 0) for i, (r, t) in enumerate(turns)]
-    out = chat_format.render(chat_format.reconstruct(log(spark, rows))).select(chat_format.formatted(F.col("segments")).alias("f"), chat_format.loss_text(F.col("segments")).alias("loss"))
-    row = out.select("f", "loss", chat_format.parse(F.col("f")).alias("turns")).first()
+    out = chat_format.render(chat_format.reconstruct(log(spark, rows))).select(chat_format.formatted(F.col("segments")).alias("f"), chat_format.loss_mask(F.col("segments")).alias("mask"))
+    row = out.select("f", "mask", chat_format.masked(F.col("f"), F.col("mask")).alias("loss"), chat_format.parse(F.col("f")).alias("turns")).first()
     assert [tuple(t) for t in row["turns"]] == turns
     assert row["loss"] == "".join(t for r, t in turns if r == "assistant")
     assert row["f"].count("<|im_start|>") == len(turns)
+    assert all(row["f"][m["start"] - 10 : m["start"]] == "assistant\n" and row["f"][m["end"] :].startswith("<|im_end|>") for m in row["mask"])
+
+
+def test_fold_equals_a_plain_loop(spark):
+    """Random logs with equal turns, repeated rows, null sequence numbers and one long conversation."""
+    rng = random.Random(17)
+    rows = [(c, rng.choice([None, *range(6)]), rng.choice([None, "k1", "k2", "k3"]), rng.choice([None, "message", "delta", "edit", "regenerate"]), rng.choice([None, "", "user", "assistant"]), rng.choice([None, "", "a", "bc", "é😀"]), 0) for c in range(40) for _ in range(rng.randrange(1, 14))]
+    rows += rows[:30]
+    rows += [(99, i, f"m{i // 3}", "delta" if i % 3 else "message", "user", f"t{i} ", 0) for i in range(6000)]
+    want = {}
+    for c in {r[0] for r in rows}:
+        events = sorted(((r[2], r[1], r[4] or "", r[5] or "", r[3] or "message") for r in rows if r[0] == c), key=lambda e: (e[0] is not None, e[0] or "", e[1] is not None, e[1] or 0, *e[2:]))
+        found = []
+        for key, seq, role, text, kind in events:
+            if not (found and key is not None and found[-1]["key"] == key):
+                found.append({"key": key, "first": seq, "role": role, "text": text})
+                continue
+            m = found[-1]
+            m["role"], m["text"] = role or m["role"], m["text"] + text if kind == "delta" else text
+        want[c] = [(m["role"], m["text"]) for m in sorted(found, key=lambda m: (m["first"] is not None, m["first"] or 0, m["role"], m["text"]))]
+    got = by_id(chat_format.reconstruct(log(spark, rows)), "conv_id")
+    for c in want:
+        assert sorted(map(tuple, got[c]["messages"])) == sorted(want[c])
+        if c == 99:
+            assert [tuple(m) for m in got[c]["messages"]] == want[c]
 
 
 # --- 2: BPE
@@ -340,6 +365,11 @@ def test_line_dedup(spark):
         assert got[i]["text"] == (None if text is None else want[i])
         assert got[i]["n_lines"] == (0 if text is None else len(text.split("\n")))
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
+    names = ("text_hash", "starts", "doc_id_", "row", "key", "whole", "made", "OUT", "N_lines")
+    clash = docs_of(spark, texts[-3:]).withColumns({n: F.lit(n) for n in names})
+    again = line_dedup.dedup_lines(clash.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))))
+    assert again.columns == [*[c for c in clash.columns if c != "N_lines"], "n_lines", "n_removed"]
+    assert all(r[n] == n for r in again.collect() for n in names[:-1]) and sum(r["n_removed"] for r in again.collect()) > 0
     twice = line_dedup.dedup_lines(docs_of(spark, ["a\nb\nc"]).unionAll(docs_of(spark, ["a\nb\nc"])))
     assert [r["text"] for r in twice.collect()] == ["a\nb\nc"] * 2
 

@@ -28,13 +28,15 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL_TEXT).alias("text"),
     )
-    log = rows.unionByName(quoted).select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("string").alias("message_key"), F.lit("message").alias("kind"), "role", "text")
-    out = chat_format.render(chat_format.reconstruct(log)).select(
-        "conv_id",
-        chat_format.formatted(F.col("segments")).alias("formatted"),
-        chat_format.loss_text(F.col("segments")).alias("loss"),
-    )
-    out = out.select("conv_id", "formatted", "loss", chat_format.parse(F.col("formatted")).alias("turns"))
+    # each turn is streamed: a draft, the first half in its place, the other half; a key of its own keeps repeated rows apart
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    event = lambda part, kind, said: F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), said.alias("text"))
+    events = F.array(event(0, "message", F.lit("...")), event(1, "regenerate", F.substring(text, F.lit(1), half)), event(2, "delta", F.substring(text, half + 1, F.char_length(text))))
+    keyed = rows.unionByName(quoted).withColumn("message_key", F.monotonically_increasing_id())
+    log = keyed.select("conv_id", F.col("turn").alias("seq"), "message_key", "role", F.explode(events).alias("e")).select("conv_id", "seq", "message_key", "role", "e.*")
+    out = chat_format.render(chat_format.reconstruct(log)).select("conv_id", chat_format.formatted(F.col("segments")).alias("formatted"), chat_format.loss_mask(F.col("segments")).alias("mask"))
+    out = out.select("conv_id", "formatted", chat_format.masked(F.col("formatted"), F.col("mask")).alias("loss"), chat_format.parse(F.col("formatted")).alias("turns"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
