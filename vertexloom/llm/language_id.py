@@ -3,17 +3,20 @@
 For each language, a suffix automaton of labelled text is built; it accepts every substring of
 that text. A document is parsed against it greedily: the longest match is a phrase, the next
 one starts after it, and a letter that the language never showed is a phrase of its own. The
-language that needs the fewest phrases for each letter wins; the score is one minus the ratio of
-its phrases to the runner-up's. Letters are lower-cased, all else counts as a single space.
+language that needs the fewest normalised phrases wins: their number times the logarithm of the length of
+the language's sample, the cross-parsing estimate of entropy, so that a language of little text is not put
+at a disadvantage. The score is one minus the ratio of that to the runner-up's. Letters are lower-cased, all else counts as a single space.
 
 The automata come from a bounded sample: about `sample_rows` labelled rows a language, chosen by
 a hash of their ids, and at most `sample_chars` characters. All chosen rows are learned from, each
 with a piece from anywhere in its text, of `piece_chars` characters at most and in shares as even as the
-texts' lengths allow: 119 characters of each of 200 long texts. Their tables are the only
+texts' lengths allow: 119 characters of each of 200 long texts. At most twice `sample_rows` rows a language
+are collected, however many share an id. Their tables are the only
 thing that is broadcast, and their size does not depend on the corpus. Every letter of the samples
 has a code: transitions by the commonest lie in a dense table, those by all others in a sorted
 list of pairs of state and code. Every whole text is
-parsed, in blocks of `BLOCK` letters that advance together as columns of one array.
+parsed in one pass: many texts advance together, as columns of one array, `BLOCK` letters at a time, with
+the state carried on; where few are left that are longer, each goes on by itself, letter by letter.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, as is all text
 where no language could be learned; with a single language its score is 1; a tie goes to
@@ -30,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 512
+#: Fewer texts than this go on one by one.
+TOGETHER = 96
 BATCH_CHARS = 2_000_000
 #: Codes of letters: PAD, OTHER and SPACE come before the alphabet's letters.
 PAD, OTHER, SPACE, FIRST = 0, 1, 2, 3
@@ -99,6 +104,8 @@ class CrossParser:
         self.code[[ord(c) for c in letters]] = np.arange(FIRST, self.codes)
         self.width = min(self.codes, DENSE_CODES)
         self.names = list(texts)
+        self.rare: dict[int, dict[int, int]] = {}
+        self.weights = np.log2(2.0 + np.array([len(t) for t in texts.values()], np.float64))
         self.tables = [self._ready(automaton_edges(self.letters(t).tolist())) for t in texts.values()]
 
     def _ready(self, edges: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,46 +134,73 @@ class CrossParser:
         return codes[~gap]
 
     def phrases(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Phrases [document, language]."""
-        blocks = [max(1, -(-len(d) // BLOCK)) for d in documents]
-        owner = np.repeat(np.arange(len(documents)), blocks)
-        flat = np.zeros(len(owner) * BLOCK, self.code.dtype)
-        at = 0
-        for d, b in zip(documents, blocks, strict=True):
-            flat[at : at + len(d)] = d
-            at += b * BLOCK
-        grid = np.ascontiguousarray(flat.reshape(-1, BLOCK).T)
-        out = np.zeros((len(documents), len(self.names)), np.int64)
-        for k, (table, go, cost, keys, targets) in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-            for column in grid:
-                if self.codes == self.width:
-                    following = table.take(state * np.int32(self.width) + column)
-                else:
-                    rare = np.flatnonzero(column >= self.width)
-                    following = table.take(state * np.int32(self.width) + np.where(column < self.width, column, OTHER))
-                    wanted = state[rare].astype(np.int64) * self.codes + column[rare]
-                    at = np.searchsorted(keys, wanted)
-                    following[rare] = np.where(keys[at] == wanted, targets[at], -1)
-                missed = np.flatnonzero(following < 0)
-                if len(missed):
-                    code = column[missed]
-                    count[missed] += (state[missed] > 0) + cost[code]
-                    following[missed] = go[code]
-                state = following
-            np.add.at(out[:, k], owner, count + (state > 0))
-        return out
+        """Phrases [document, language]: each text is parsed greedily from its first letter to its last."""
+        sizes = np.array([len(d) for d in documents], np.int64)
+        states = np.zeros((len(self.names), len(documents)), np.int32)
+        counts = np.zeros((len(self.names), len(documents)), np.int64)
+        for at in range(0, int(sizes.max(initial=0)), BLOCK):
+            left = np.flatnonzero(sizes > at)
+            if len(left) < TOGETHER:
+                for i in left.tolist():
+                    for k in range(len(self.names)):
+                        states[k, i], more = self._alone(k, documents[i][at:], int(states[k, i]))
+                        counts[k, i] += more
+                break
+            grid = np.zeros((BLOCK, len(left)), self.code.dtype)
+            for column, i in enumerate(left.tolist()):
+                some = documents[i][at : at + BLOCK]
+                grid[: len(some), column] = some
+            for k in range(len(self.names)):
+                states[k, left], more = self._together(k, grid, states[k, left])
+                counts[k, left] += more
+        return (counts + (states > 0)).T
+
+    def _together(self, k: int, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after the columns of `grid`, and phrases ended in them."""
+        table, go, cost, keys, targets = self.tables[k]
+        count = np.zeros(len(state), np.int32)
+        for column in grid:
+            if self.codes == self.width:
+                following = table.take(state * np.int32(self.width) + column)
+            else:
+                rare = np.flatnonzero(column >= self.width)
+                following = table.take(state * np.int32(self.width) + np.where(column < self.width, column, OTHER))
+                wanted = state[rare].astype(np.int64) * self.codes + column[rare]
+                at = np.searchsorted(keys, wanted)
+                following[rare] = np.where(keys[at] == wanted, targets[at], -1)
+            missed = np.flatnonzero(following < 0)
+            if len(missed):
+                code = column[missed]
+                count[missed] += (state[missed] > 0) + cost[code]
+                following[missed] = go[code]
+            state = following
+        return state, count
+
+    def _alone(self, k: int, letters: np.ndarray, state: int) -> tuple[int, int]:
+        """The same for one text."""
+        table, go, cost, keys, targets = self.tables[k]
+        if k not in self.rare:
+            self.rare[k] = dict(zip(keys.tolist(), targets.tolist(), strict=True))
+        rare, dense, width, codes, count = self.rare[k], memoryview(table), self.width, self.codes, 0
+        first, price = go.tolist(), cost.tolist()
+        for c in letters.tolist():
+            following = dense[state * width + c] if c < width else rare.get(state * codes + c, -1)
+            if following < 0:
+                count += (state > 0) + price[c]
+                following = first[c]
+            state = following
+        return state, count
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         documents = [self.letters(t.lower()) for t in texts]
         known = np.array([bool((d != SPACE).any()) for d in documents], bool)
         if not self.names:
             return ["und"] * len(texts), np.zeros(len(texts))
-        found = self.phrases(documents)
+        found = self.phrases(documents) * self.weights
         best = found.argmin(1)
         low = found[np.arange(len(texts)), best]
-        second = np.partition(found, 1, axis=1)[:, 1] if len(self.names) > 1 else np.maximum(low, 1) * 1e9
-        score = np.where(known, np.clip(1 - low / np.maximum(second, 1), 0, 1), 0.0)
+        second = np.partition(found, 1, axis=1)[:, 1] if len(self.names) > 1 else np.full(len(texts), np.inf)
+        score = np.where(known, np.clip(1 - low / np.maximum(second, 1e-9), 0, 1), 0.0)
         return [self.names[b] if k else "und" for b, k in zip(best, known, strict=True)], score
 
 
@@ -196,12 +230,15 @@ def sample(docs: DataFrame, learn: Column, sample_rows: int = 200, sample_chars:
     if not shares:
         return {}
     share = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair))[F.col("lang")]
-    pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
+    # rows without an id, or with one id, are told apart by their texts
+    pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text")), F.lit("language sample")), F.lit(1 << 30))
     seed = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language piece")), F.lit(1 << 30)).cast("int")
     piece = F.substr(F.col("text"), seed % F.greatest(F.char_length("text") - (piece_chars - 1), F.lit(1)) + 1, F.lit(piece_chars))
     chosen = rows.filter(pick <= share * (1 << 30)).select("lang", pick.alias("pick"), seed.alias("seed"), piece.alias("text"))
+    order = Window.partitionBy("lang").orderBy("pick", "text")
+    chosen = chosen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * sample_rows)
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.orderBy("lang", "pick", "text").collect():
+    for r in chosen.orderBy("lang", "place").collect():
         texts.setdefault(r["lang"], []).append((r["seed"], r["text"]))
     return {lang: even_pieces(t, sample_chars) for lang, t in texts.items()}
 
