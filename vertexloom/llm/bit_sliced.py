@@ -17,18 +17,22 @@ of every block is scored; there is no pruning that could lose one.
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor
 do null ids; only vectors of equal dimension are compared; a query never meets rows of its
 own id; repeated rows are candidates each on its own; fewer candidates than k give fewer
-rows; an empty table gives an empty table; other columns are ignored.
+rows; an empty table gives an empty table; other columns are ignored. Components whose integers
+lie beyond 64 bits count as the nearest that fits; a block whose sums could pass 63 bits is scored in
+integers of any size, and a score beyond 64 bits counts as the nearest that fits.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 65_536
-QUERY_ROWS = 4_096
+#: Attributes of the candidates of a block, and queries of a block: at most, and, while there are fewer tasks than cores, at least.
+BLOCK_CELLS, QUERY_ROWS, FEW_QUERIES = 1 << 22, 4_096, 32
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -129,11 +133,20 @@ class BitSlicedIndex:
         return [(int(self.ids[chosen[i]]), int(scores[i])) for i in order]
 
 
+def exact_top(ids: np.ndarray, rows: np.ndarray, query_id: int, query: list[int], k: int) -> list[tuple[int, int]]:
+    """The same in integers of any size, for components that slices of 64 bits cannot add."""
+    far = 1 << 63
+    scored = [(min(max(sum(a * b for a, b in zip(row, query, strict=True)), -far), far - 1), i) for i, row in zip(ids.tolist(), rows.tolist(), strict=True) if i != query_id]
+    return [(i, s) for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:k]]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, <key>, score. `is_query`: a condition on the id, named `id`."""
     rows = quantised(vectors, key, vector, scale)
-    size = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    n_blocks, q_blocks = max(1, -(-size["n"] // BLOCK_ROWS)), max(1, -(-size["q"] // QUERY_ROWS))
+    size = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.coalesce(F.sum("dim"), F.lit(0)).alias("cells")).first()
+    n_blocks = max(1, -(-size["cells"] // BLOCK_CELLS))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-size["q"] // QUERY_ROWS), min(-(-cores // n_blocks), -(-size["q"] // FEW_QUERIES)))
     block = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select("dim", block(n_blocks).alias("cb"), spread(q_blocks).alias("qb"), "id", "q")
@@ -144,9 +157,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         if left.num_rows and right.num_rows:
             ids = left.column("id").to_numpy()
             flat = left.column("q").combine_chunks().flatten().to_numpy()
-            index = BitSlicedIndex(ids, flat.reshape(len(ids), -1))
-            for query_id, query in zip(right.column("id").to_pylist(), right.column("q").to_pylist(), strict=True):
-                out += [(query_id, i, s) for i, s in index.top(query_id, query, k)]
+            block, queries_ = flat.reshape(len(ids), -1), right.column("q").to_pylist()
+            largest = max(abs(int(block.min())), abs(int(block.max())))
+            if 2 * largest * max(sum(map(abs, q)) for q in queries_) < 1 << 62:
+                top = BitSlicedIndex(ids, block).top
+            else:
+                top = functools.partial(exact_top, ids, block)
+            for query_id, query in zip(right.column("id").to_pylist(), queries_, strict=True):
+                out += [(query_id, i, s) for i, s in top(query_id, query, k)]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "id", "score"), columns, strict=True)})
 
