@@ -1,8 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Learned from a bounded sample: at most `SAMPLE_ROWS` labelled rows, chosen by a hash of their ids.
-The lexicon is learned too: words whose frequency by documents is far higher among toxic
-ones. Features of a text are lexicon densities, nearness to second-person words, rates of
+Learned from a bounded sample: at most `SAMPLE_ROWS` labelled ids, chosen by their hash, with one text
+each, that of the least hash where an id repeats.
+The lexicon is learned too, from the sample: at most `LEXICON_WORDS` words that at least
+`LEXICON_DOCUMENTS` toxic documents hold, by `LEXICON_Z` standard deviations more than their share; a word
+below these bounds counts only through the other features. Features of a text are lexicon densities, nearness to second-person words, rates of
 capitals, punctuation and obfuscation, and length. Trees are grown on histograms of the
 features; a part of the sample that no tree has seen fits the isotonic curve. Whole
 texts are read once to be scored, without any shuffle.
@@ -200,7 +202,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, learn: Column, rows: int) -> Da
     """doc_id, toxic, text of the sample. The sample's ids are broadcast: `rows` of them at most."""
     marked = labels.filter(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = marked.orderBy(F.xxhash64(F.col("doc_id"), F.lit("toxicity sample")), "doc_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    met = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
