@@ -101,6 +101,27 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(docs_of(spark, []), path).count() == 0
 
 
+def test_long_words_in_time():
+    """A million letters and words of many widths, merged one by one and together."""
+    import json
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        model = bpe.SegmentTreeBpe(json.load(f)["model"])
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(n)).encode() for n in (1, 2, 3, 63, 64, 65, 66, 100, 128, 129, 700, 5000) for _ in range(3)]
+    assert [model._merge([w], max(1, 1 << (len(w) - 1).bit_length()))[0] for w in words] == model.encode_words(words)
+    assert model.encode_words(words * 40)[: len(words)] == model.encode_words(words)
+    long = "".join(rng.choice("etaoinshr") for _ in range(1_000_000))
+    began = time.perf_counter()
+    got = model.encode_words([long.encode()])[0]
+    assert time.perf_counter() - began < 60
+    assert got[:4000] == np.array(Tokenizer.from_file(path).encode(long[:20_000], add_special_tokens=False).ids, "<u4").tobytes()[:4000]
+
+
 # --- 3: packing
 
 
@@ -418,7 +439,7 @@ def test_languages(spark):
     assert language_id.identify(docs_of(spark, []), parser).count() == 0
 
 
-def test_languages_with_many_letters():
+def test_languages_with_many_letters(monkeypatch):
     """Two languages share 2,000 letters in other orders, one has letters beyond U+FFFF; against a parse by substrings."""
     rng = random.Random(13)
     shared = [chr(0x4E00 + i) for i in range(2000)]
@@ -443,6 +464,30 @@ def test_languages_with_many_letters():
 
     found = parser.phrases([parser.letters(t) for t in texts])
     assert found.tolist() == [[phrases(t, samples[lang]) for lang in sorted(samples)] for t in texts]
+    # long texts, one by one and together, with states carried over blocks
+    long = [samples["dd"][50:2450], *(" ".join(rng.choices(words[lang], k=700)) for lang in words), "a", ""]
+    want = [[phrases(t, samples[lang]) for lang in sorted(samples)] for t in long]
+    assert want[0][3] == 1 and parser.phrases([parser.letters(t) for t in long]).tolist() == want
+    monkeypatch.setattr(language_id, "TOGETHER", 1)
+    assert parser.phrases([parser.letters(t) for t in long]).tolist() == want
+
+
+def test_language_of_little_text():
+    """Two languages of like letters, one with a sample a fortieth as long."""
+    rng = random.Random(14)
+    words = {lang: ["".join(rng.choice(parts) for _ in range(3)) for _ in range(120)] for lang, parts in (("aa", ["ka", "lo", "mi", "tu", "ne"]), ("bb", ["ak", "ol", "im", "ut", "en"]))}
+    parser = language_id.CrossParser({"aa": " ".join(rng.choices(words["aa"], k=4000)), "bb": " ".join(rng.choices(words["bb"], k=100))})
+    for lang in words:
+        names, _ = parser.predict([" ".join(rng.choices(words[lang], k=20)) for _ in range(50)])
+        assert np.mean([n == lang for n in names]) >= 0.98
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(None if i % 2 else 7, "same text" if i % 3 else f"text {i}", "aa", "s", 0, 1, 2) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = language_id.sample(docs, F.lit(True), sample_rows=20)
+    assert 0 < got["aa"].count("\n") < 40
+    assert language_id.identify(docs, language_id.CrossParser(got)).count() == 3000
 
 
 def test_language_sample_takes_all_chosen_rows(spark):
@@ -472,6 +517,16 @@ def test_search(spark, n, dim, k):
     assert bit_sliced.search(vectors.limit(0), F.col("id") % 5 == 0, k).count() == 0
 
 
+def test_search_of_huge_components_and_repeated_rows(spark):
+    rows = [(1, [1e16, -2e16]), (2, [3e18, 1.0]), (3, [-3e18, 5.0]), (4, [1e16, 1e16]), (4, [1e16, 1e16]), (5, [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"dim": F.lit(1), "q": F.lit("x"), "id": F.lit(3)})
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in bit_sliced.search(vectors, F.col("id") == 4, 10).orderBy("query_id", "rank").collect()]
+    far = 1 << 63
+    q = {i: [min(max(int(np.floor(1024 * x)), -far), far - 1) for x in v] for i, v in rows}
+    want = sorted(((min(max(sum(a * b for a, b in zip(q[4], q[j], strict=True)), -far), far - 1), j) for j in (1, 2, 3, 5)), key=lambda x: (-x[0], x[1]))
+    assert sorted(set(got)) == sorted((4, j, s) for s, j in want)
+
+
 # --- 9: toxicity
 
 
@@ -509,6 +564,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def test_toxicity_of_repeated_and_null_ids(spark):
+    """An id with many texts gives one row to learn from; copies and null ids are scored each."""
+    rows, labels = toxic_rows(200)
+    many = [(3, f"{rows[3][1]} {k}", "en", "s", 0, 1, 2) for k in range(500)] + [(None, "you vileone", "en", "s", 0, 1, 2)] * 3
+    docs = spark.createDataFrame(rows + many, DOCS)
+    marks = spark.createDataFrame([*labels, *labels[:9], (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, marks, F.lit(True))
+    assert toxicity._sampled(docs, marks, F.lit(True), 1000).count() == 200
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 703 and len({r["score"] for r in got if r["doc_id"] is None}) == 1
+
+
 def test_toxicity_of_few_labels(spark):
     rows, labels = toxic_rows(60)
     docs = spark.createDataFrame(rows, DOCS)

@@ -4,8 +4,8 @@ Each leaf of a word's tree holds the rank of the pair that starts there (or NONE
 inner nodes hold the minimum of (rank, position), so the root is the leftmost pair of
 lowest rank. Merging it changes three leaves (the merged pair, the one before, the one
 after), each a point update of logarithmic cost, until the root is NONE. The trees of
-many words of equal width are advanced together as rows of one array; a word alone in
-its width is simply an array of one row, so very long words cost n log n too.
+many words of equal width are advanced together as rows of one array; where few words share a
+width, each has a tree by itself, whose updates end at the first node that they leave as it was.
 
 The rest of the vocabulary file is followed as it stands: special tokens are cut out of
 the raw text first; the remainder is normalised (NFC, white space to a space, lower case
@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.int64(1 << 62)
+#: Fewer words of one width than this are merged one by one, if they are longer than `SHORT` bytes.
+TOGETHER, SHORT = 32, 64
 #: Entries of the table of runs; it is emptied when full.
 CACHE_ENTRIES = 600_000
 #: White space to str.split() alone.
@@ -63,6 +65,7 @@ class SegmentTreeBpe:
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.into = keys[order], order.astype(np.int64), into
+        self.pairs: dict[int, tuple[int, int]] | None = None
         self.first = np.array([self.vocab.get(c, -1) for c in self.byte_char], np.int64)
         self.last = np.array([self.vocab.get(c + self.suffix, -1) for c in self.byte_char], np.int64)
 
@@ -78,6 +81,10 @@ class SegmentTreeBpe:
         for i, w in enumerate(words):
             widths.setdefault(max(1, (len(w) - 1).bit_length()), []).append(i)
         for power, members in widths.items():
+            if len(members) < TOGETHER and 1 << power > SHORT:
+                for i in members:
+                    out[i] = self._merge_one(words[i])
+                continue
             step = max(1, (1 << 20) >> power)
             for k in range(0, len(members), step):
                 some = members[k : k + step]
@@ -130,6 +137,60 @@ class SegmentTreeBpe:
         ends = (4 * np.cumsum(alive.sum(1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def _merge_one(self, word: bytes) -> bytes:
+        """One word of two bytes or more."""
+        if self.pairs is None:
+            self.pairs = {k: (r, i) for k, r, i in zip(self.keys.tolist(), self.rank.tolist(), self.into[self.rank].tolist(), strict=True)}
+        pairs, n, none = self.pairs, len(word), int(NONE)
+        width = 1 << (n - 1).bit_length()
+        raw = np.frombuffer(word, np.uint8)
+        start = self.first[raw]
+        start[-1] = self.last[raw[-1]]
+        rank = self._ranks(start[:-1], start[1:])
+        whole = np.full(2 * width, NONE, np.int64)
+        whole[width : width + n - 1] = np.where(rank == NONE, NONE, rank * width + np.arange(n - 1))
+        level = width
+        while level > 1:
+            half = level >> 1
+            whole[half:level] = np.minimum(whole[level : 2 * level : 2], whole[level + 1 : 2 * level : 2])
+            level = half
+        tree, ids = memoryview(whole), memoryview(start)
+        nxt, prv = memoryview(np.arange(1, n + 1)), memoryview(np.arange(-1, n - 1))
+        gone = bytearray(n)
+
+        def put(at: int, value: int) -> None:
+            node = at + width
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        def score(at: int, after: int) -> int:
+            left, right = ids[at], ids[after]
+            known = pairs.get(left << 32 | right) if left >= 0 and right >= 0 else None
+            return none if known is None else known[0] * width + at
+
+        while tree[1] != none:
+            at = tree[1] % width
+            eaten = nxt[at]
+            after = nxt[eaten]
+            ids[at] = pairs[ids[at] << 32 | ids[eaten]][1]
+            gone[eaten], nxt[at] = 1, after
+            put(eaten, none)
+            if after < n:
+                prv[after] = at
+                put(at, score(at, after))
+            else:
+                put(at, none)
+            before = prv[at]
+            if before >= 0:
+                put(before, score(before, at))
+        return start[np.frombuffer(gone, np.uint8) == 0].astype("<u4").tobytes()
+
     def _set(self, tree, rows, at, left, right, width) -> None:
         rank = self._ranks(left, right)
         self._put(tree, rows, at, np.where(rank == NONE, NONE, rank * width + at), width)
