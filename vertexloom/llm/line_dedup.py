@@ -62,9 +62,9 @@ def _kept(lines: Column, starts: Column) -> Column:
     return F.aggregate(starts, zero, step, tail)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, their text without repeated windows, and n_lines and n_removed, in place of columns of these names."""
-    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """The rows of `docs`, their text without repeated windows, and, with `counts`, n_lines and n_removed, in place of columns of these names."""
+    own = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_removed")]
     # the columns travel in a struct, so that no name of theirs can clash
     keyed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("key"), F.col("text").alias("whole"), F.xxhash64("text").alias("text_hash"))
     marks = repeated_windows(keyed.select(F.col("key").alias("doc_id"), F.col("whole").alias("text"), "text_hash")).select(F.col("doc_id").alias("marked"), F.col("text_hash").alias("marked_hash"), "starts")
@@ -76,8 +76,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         )
 
     met = met.withColumn("made", let(F.split(F.coalesce("whole", F.lit("")), "\n", -1), result))
+    kept = [F.col("made.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in own]
+    if not counts:
+        return met.select(*kept)
     return met.select(
-        *(F.col("made.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in own),
+        *kept,
         F.when(F.col("whole").isNull(), 0).otherwise(F.col("made.n")).cast("bigint").alias("n_lines"),
         F.when(F.col("whole").isNull(), 0).otherwise(F.col("made.n") - F.col("made.k")).cast("bigint").alias("n_removed"),
     )
