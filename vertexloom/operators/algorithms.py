@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ def component_program() -> VertexProgram:
         send=lambda: F.col("value"),
         merge=F.min,
         update=lambda: (F.least("value", "msg"), F.coalesce(better, F.lit(False))),
+        times=lambda msg, _: msg,
     )
 
 
@@ -37,6 +39,7 @@ def rank_program(alpha: float, teleport: float) -> VertexProgram:
         merge=F.sum,
         update=lambda: (rank, F.lit(True)),
         params={"alpha": alpha, "teleport": teleport},
+        times=lambda msg, n: msg * n,
     )
 
 
@@ -64,31 +67,45 @@ def distance_program(source) -> VertexProgram:
         merge=F.min,
         update=lambda: (F.least("value", "msg"), F.coalesce(better, F.lit(False))),
         params={"source": source},
+        times=lambda msg, _: msg,
     )
 
 
-#: What stands for "not reached" unless the caller gives another value.
+#: What stands for "not reached" in results unless the caller gives another value.
 UNREACHED = 2147483647
+#: What stands for it within a run, so that every distance of the type counts.
+FARTHEST = {"bigint": (1 << 63) - 1, "int": (1 << 31) - 1, "double": float("inf"), "float": float("inf")}
 
 
 def shortest_paths(graph: Graph, source, max_supersteps: int = 1000, unreached: int | float | None = UNREACHED, **options) -> Run:
     """Least sums of edge values from `source`. With `unreached` None, values as read stand for it."""
     if unreached is not None:
-        graph = graph.with_values(graph.vertices.select("id", F.lit(unreached).cast("bigint" if isinstance(unreached, int) else "double").alias("value")))
+        far = FARTHEST["bigint" if isinstance(unreached, int) else "double"]
+        graph = graph.with_values(graph.vertices.select("id", F.lit(far).cast("bigint" if isinstance(unreached, int) else "double").alias("value")))
     kind = dict(graph.vertices.dtypes)["value"]
     program = distance_program(source)
-    typed = VertexProgram(program.name, lambda: (program.start()[0].cast(kind), program.start()[1]), lambda: program.send().cast(kind), program.merge, program.update, program.params)
-    return run_program(graph, typed, max_supersteps, **options)
+    typed = replace(program, start=lambda: (program.start()[0].cast(kind), program.start()[1]), send=lambda: program.send().cast(kind))
+    run = run_program(graph, typed, max_supersteps, **options)
+    if unreached is None:
+        return run
+    return replace(run, vertices=run.vertices.withColumn("value", F.when(F.col("value") == F.lit(far), F.lit(unreached)).otherwise(F.col("value")).cast(kind)))
 
 
 #: Programs that jobs name: (graph, supersteps, parameters, options) to a run.
 REGISTRY: dict[str, Callable[..., Run]] = {"wcc": components, "pagerank": pagerank, "sssp": shortest_paths}
 
 
+def register(name: str, program: Callable[..., Run] | VertexProgram) -> None:
+    """Makes a user's program known to jobs: a function (graph, supersteps, **options) to a run, or a vertex program."""
+    if name.lower() in REGISTRY:
+        raise InvalidArgument(f"there is an algorithm {name!r} already")
+    REGISTRY[name.lower()] = program if not isinstance(program, VertexProgram) else lambda graph, supersteps=10, **options: run_program(graph, program, supersteps, **options)
+
+
 def registered(name: str) -> Callable[..., Run]:
     if name.lower() not in REGISTRY:
         raise InvalidArgument(f"unknown algorithm {name!r}; there are {sorted(REGISTRY)}")
     return REGISTRY[name.lower()]
 
 
-__all__ = ["Hook", "components", "pagerank", "registered", "shortest_paths"]
+__all__ = ["Hook", "components", "pagerank", "register", "registered", "shortest_paths"]

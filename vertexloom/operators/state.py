@@ -1,4 +1,8 @@
-"""Graph state in versions of Parquet tables, and snapshots of runs that can be resumed."""
+"""Graph state in versions of Parquet tables, and snapshots of runs that can be resumed.
+
+Vertices lie in buckets by a hash of their id; an upsert rewrites the buckets that its rows fall in
+and leaves the others, and a lookup reads one.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..functions.storage import exists, read_text, write_text
+from ..functions.storage import discard_table, durable, exists, read_text, write_text
 from .graph import last_wins
 
+BUCKETS = 64
+
 
 class GraphState:
     """Vertices (id, value), upserted, and edges (src, dst, value), appended. Snapshots never change."""
 
-    def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", value_type: str = "bigint", edge_type: str = "bigint"):
+    def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", value_type: str = "bigint", edge_type: str = "bigint", buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
         self.vertex_schema, self.edge_schema = f"id {id_type}, value {value_type}", f"src {id_type}, dst {id_type}, value {edge_type}"
         if not exists(spark, self._meta):
-            self._point({"version": 0, "vertices": None, "edges": []})
+            self._point({"version": 0, "buckets": buckets, "vertices": {}, "edges": []})
 
     @property
     def _meta(self) -> str:
@@ -32,14 +38,29 @@ class GraphState:
     def _current(self) -> dict:
         return json.loads(read_text(self.spark, self._meta))
 
+    @staticmethod
+    def _bucket(key, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
     def put_vertices(self, rows: DataFrame) -> None:
-        """Upsert; of rows that repeat an id, the last by `ordinal` wins, if that column is there."""
+        """Upsert; of rows that repeat an id, the last by `ordinal` wins, or the last in the order of `rows` without that column."""
         meta = self._current()
-        new = (last_wins(rows) if "ordinal" in rows.columns else rows).select("id", "value")
-        old = self.list_vertices().join(new.select("id"), "id", "left_anti")
-        target = f"{self.path}/vertices-{meta['version'] + 1}"
-        old.unionByName(new).write.parquet(target)
-        self._point(meta | {"version": meta["version"] + 1, "vertices": target})
+        if "ordinal" not in rows.columns:
+            rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
+        name, type_of = f"{self.path}/vertices-{meta['version'] + 1}", dict(x.split(" ", 1) for x in self.vertex_schema.split(", "))
+        new = last_wins(rows).select(F.col("id").cast(type_of["id"]).alias("id"), F.col("value").cast(type_of["value"]).alias("value"))
+        new = durable(new.withColumn("bucket", self._bucket("id", meta["buckets"])), "upsert")
+        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most as many as there are buckets
+        paths = [meta["vertices"][str(b)] for b in touched if str(b) in meta["vertices"]]
+        if paths:
+            old = self.spark.read.schema(self.vertex_schema).parquet(*paths).withColumn("bucket", self._bucket("id", meta["buckets"]))
+            whole = old.join(new.select("id"), "id", "left_anti").unionByName(new)
+        else:
+            whole = new
+        if touched:
+            whole.select("id", "value", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(name)
+        discard_table(new)
+        self._point(meta | {"version": meta["version"] + 1, "vertices": meta["vertices"] | {str(b): f"{name}/bucket={b}" for b in touched}})
 
     def put_edges(self, rows: DataFrame) -> None:
         meta = self._current()
@@ -48,8 +69,10 @@ class GraphState:
         self._point(meta | {"version": meta["version"] + 1, "edges": [*meta["edges"], target]})
 
     def list_vertices(self, ordered: bool = False) -> DataFrame:
-        at = self._current()["vertices"]
-        rows = self.spark.read.schema(self.vertex_schema).parquet(at) if at else self.spark.createDataFrame([], self.vertex_schema)
+        return self._read(list(self._current()["vertices"].values()), ordered)
+
+    def _read(self, paths: list[str], ordered: bool = False) -> DataFrame:
+        rows = self.spark.read.schema(self.vertex_schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.vertex_schema)
         return rows.orderBy("id") if ordered else rows
 
     def list_edges(self) -> DataFrame:
@@ -57,7 +80,10 @@ class GraphState:
         return self.spark.read.schema(self.edge_schema).parquet(*at) if at else self.spark.createDataFrame([], self.edge_schema)
 
     def get_vertex(self, key):
-        row = self.list_vertices().filter(F.col("id") == F.lit(key)).first()
+        meta = self._current()
+        kind = self.vertex_schema.split(", ")[0].split(" ", 1)[1]
+        bucket = self.spark.range(1).select(self._bucket(F.lit(key).cast(kind), meta["buckets"])).first()[0]
+        row = self._read([p for b, p in meta["vertices"].items() if int(b) == bucket]).filter(F.col("id") == F.lit(key)).first()
         return None if row is None else row["value"]
 
     def out_edges(self, key) -> DataFrame:

@@ -8,7 +8,10 @@ The run ends at the bound, or after the first superstep in which no vertex that
 edge; edges to unknown targets count.
 
 Edges are dealt by source once and kept with that partitioning, so each superstep shuffles the
-changed vertices and the merged messages, not the edges. The state after a superstep is
+changed vertices and the merged messages, not the edges. The edges of a hub, a source of more than
+`hub_edges`, are dealt to as many salts as they fill, and the hub's one row is repeated for each of
+them. Equal edges are kept once with their number, where the program says what that many equal
+messages amount to. The state after a superstep is
 written as a table in the shared folder: lineage stays short, and a lost executor costs the
 current superstep at most. The counts that decide on the halt are observed by that write.
 """
@@ -36,6 +39,7 @@ class VertexProgram:
     send: Callable[[], Column]  #: the message along an edge
     merge: Callable[[Column], Column]  #: an aggregate of column msg
     update: Callable[[], tuple[Column, Column]]  #: (value, fires) in later supersteps
+    times: Callable[[Column, Column], Column] | None = None  #: what n messages equal to msg amount to; None: each is sent
     params: dict = field(default_factory=dict)
 
 
@@ -54,6 +58,8 @@ class Run:
 
 
 Hook = Callable[[int, DataFrame], None]
+#: Edges of one source that lie together, at most about.
+HUB_EDGES = 100_000
 
 
 def _written(state: DataFrame, before: DataFrame | None) -> tuple[DataFrame, int, int]:
@@ -66,7 +72,22 @@ def _written(state: DataFrame, before: DataFrame | None) -> tuple[DataFrame, int
     return out, int(got["updates"]), int(got["messages"])
 
 
-def run_program(graph: Graph, program: VertexProgram, supersteps: int, resume: tuple[int, DataFrame] | None = None, hook: Hook | None = None, partitions: int | None = None) -> Run:
+def _salts(degree: Column, hub_edges: int) -> Column:
+    return F.ceil(degree / hub_edges)
+
+
+def _dealt(graph: Graph, partitions: int, hub_edges: int, once: bool) -> DataFrame:
+    """src, salt, dst, edge_value, copies; dealt by source and salt, and, with `once`, equal edges as one row."""
+    hubs = graph.edges.groupBy("src").agg(F.count("*").alias("degree")).filter(F.col("degree") > hub_edges).select("src", _salts(F.col("degree"), hub_edges).alias("salts"))
+    salted = graph.edges.select("src", "dst", F.col("value").alias("edge_value")).join(hubs, "src", "left")
+    salted = salted.select("src", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst", "edge_value"), F.col("salts"))).cast("bigint").alias("salt"), "dst", "edge_value")
+    if not once:
+        return salted.withColumn("copies", F.lit(1).cast("bigint")).repartition(partitions, "src", "salt")
+    # map tasks take equal edges together before they are dealt
+    return salted.groupBy("src", "salt", "dst", "edge_value").agg(F.count("*").alias("copies")).repartition(partitions, "src", "salt")
+
+
+def run_program(graph: Graph, program: VertexProgram, supersteps: int, resume: tuple[int, DataFrame] | None = None, hook: Hook | None = None, partitions: int | None = None, hub_edges: int = HUB_EDGES) -> Run:
     """At most `supersteps` supersteps. `resume`: a superstep and the state (id, value, degree, fires) after it. `hook` sees each state."""
     if supersteps < 0:
         raise InvalidArgument("supersteps must not be negative")
@@ -74,11 +95,11 @@ def run_program(graph: Graph, program: VertexProgram, supersteps: int, resume: t
     if supersteps == 0:
         return Run(graph.vertices, 0, [])
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = graph.edges.select("src", "dst", F.col("value").alias("edge_value")).repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = _dealt(graph, n, hub_edges, program.times is not None).persist(StorageLevel.MEMORY_AND_DISK)
     trace: list[Superstep] = []
     try:
         if resume is None:
-            degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+            degrees = edges.groupBy(F.col("src").alias("id")).agg(F.sum("copies").alias("degree"))
             value, fires = program.start()
             first = graph.vertices.join(degrees, "id", "left").select("id", "value", F.coalesce("degree", F.lit(0)).alias("degree"))
             state, updates, messages = _written(first.select("id", value.alias("value"), "degree", fires.alias("fires")), None)
@@ -91,8 +112,10 @@ def run_program(graph: Graph, program: VertexProgram, supersteps: int, resume: t
             state, updates, messages = _written(given.select("id", "value", "degree", "fires"), None)
         while iteration < supersteps and messages:
             iteration += 1
-            senders = state.filter(F.col("fires") & (F.col("degree") > 0)).select(F.col("id").alias("src"), "value", "degree")
-            sent = edges.join(senders, "src").select(F.col("dst").alias("id"), program.send().alias("msg"))
+            senders = state.filter(F.col("fires") & (F.col("degree") > 0)).select(F.col("id").alias("src"), "value", "degree", _salts(F.col("degree"), hub_edges).alias("salts"))
+            senders = senders.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).drop("salts")
+            met = edges.join(senders, ["src", "salt"]).withColumn("msg", program.send())
+            sent = met.select(F.col("dst").alias("id"), (program.times(F.col("msg"), F.col("copies")) if program.times else F.col("msg")).alias("msg"))
             merged = sent.groupBy("id").agg(program.merge(F.col("msg")).alias("msg"))
             value, fires = program.update()
             joined = state.join(merged, "id", "left").select("id", value.alias("value"), "degree", fires.alias("fires"))

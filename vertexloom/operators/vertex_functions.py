@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..functions.storage import discard_table, durable
 from .graph import Graph
-from .supersteps import Run, Superstep
+from .supersteps import Hook, Run, Superstep
 
 
 @dataclass
@@ -50,13 +51,21 @@ class VertexFunction:
     def finish(self, executed: int) -> None: ...
 
 
-def run_function(graph: Graph, function: VertexFunction, message_type: str, max_supersteps: int) -> Run:
-    """Every vertex computes in every superstep, until none sends or the bound is reached."""
+def run_function(graph: Graph, function: VertexFunction, message_type: str, max_supersteps: int, resume: tuple[int, DataFrame] | None = None, hook: Hook | None = None, partitions: int | None = None) -> Run:
+    """Every vertex computes in every superstep, until none sends or the bound is reached.
+
+    `hook` sees each superstep's tagged table (id, value, message, changed: null in messages), which is what
+    `resume` takes with its number. `partitions`: how many the vertices are dealt to.
+    """
     if max_supersteps < 0:
         raise InvalidArgument("max_supersteps must not be negative")
     types = dict(graph.vertices.dtypes)
-    adjacency = durable(graph.vertices.select("id").join(graph.adjacency(), "id", "left"), "adjacency")
+    adjacency = graph.vertices.select("id").join(graph.adjacency(), "id", "left")
+    adjacency = durable(adjacency.repartition(partitions, "id") if partitions else adjacency, "adjacency")
     values, inbox, before, trace, k = graph.vertices, None, None, [], 0
+    if resume is not None:
+        k, given = resume
+        values, inbox = _split(given)
     function.init()
     while k < max_supersteps:
         k += 1
@@ -80,18 +89,26 @@ def run_function(graph: Graph, function: VertexFunction, message_type: str, max_
 
         schema = f"id {types['id']}, value {types['value']}, message {message_type}, changed boolean"
         tagged = durable(rows.select("id", "value", "targets", "messages").mapInPandas(step, schema), "tagged")
-        values, inbox = tagged.filter(F.col("changed").isNotNull()).select("id", "value"), tagged.filter(F.col("changed").isNull()).select("id", "message")
+        values, inbox = _split(tagged)
         counts = tagged.agg(F.count_if("changed").alias("u"), F.count_if(F.col("changed").isNull()).alias("m")).first()
         trace.append(Superstep(k, counts["u"], counts["m"]))
         if before is not None:
             discard_table(before)
         before = tagged
+        if hook:
+            hook(k, tagged)
         if not counts["m"]:
             break
     function.finish(k)
+    discard_table(adjacency)
     return Run(values, k, trace)
 
 
+def _split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values and messages of a superstep."""
+    return tagged.filter(F.col("changed").isNotNull()).select("id", "value"), tagged.filter(F.col("changed").isNull()).select("id", "message")
+
+
 class LeastLabel(VertexFunction):
     """Components, written as a general function."""
 
