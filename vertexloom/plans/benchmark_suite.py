@@ -23,7 +23,7 @@ def load(spark: SparkSession, meta: DatasetMeta, ranks: bool) -> Graph:
     return Graph.build(read_id_list(spark, meta.vertex_file, value), read_edge_list(spark, meta.edge_file, undirected=not meta.directed))
 
 
-def run(spark: SparkSession, meta: DatasetMeta, names: tuple[str, ...] = RUNS, wcc_supersteps: int = 50, rank_supersteps: int = 10, alpha: float = 0.85, out: str | None = None) -> dict[str, dict]:
+def run(spark: SparkSession, meta: DatasetMeta, names: tuple[str, ...] = RUNS, wcc_supersteps: int = 50, rank_supersteps: int = 10, alpha: float = 0.85, out: str | None = None, partitions: int | None = None) -> dict[str, dict]:
     """A report for each name; a comparison that fails is in it as passed: false."""
     if not names or set(names) - set(RUNS):
         raise InvalidArgument(f"runs must be some of {RUNS}")
@@ -33,7 +33,7 @@ def run(spark: SparkSession, meta: DatasetMeta, names: tuple[str, ...] = RUNS, w
         if truth is None:
             raise InvalidArgument(f"no truth file for {name}")
         graph = load(spark, meta, name == "pagerank")
-        done = components(graph, wcc_supersteps) if name == "wcc" else pagerank(graph, rank_supersteps, alpha)
+        done = components(graph, wcc_supersteps, partitions=partitions) if name == "wcc" else pagerank(graph, rank_supersteps, alpha, partitions=partitions)
         if out:
             dump_csv(done.vertices, f"{out}/{name}")
         report = verify_labels(done.vertices, read_truth(spark, truth)) if name == "wcc" else verify_ranks(done.vertices, read_truth(spark, truth, "double"))

@@ -45,6 +45,10 @@ def parser() -> argparse.ArgumentParser:
         r = steps.add_parser(name)
         r.add_argument("properties")
         r.add_argument("--out")
+        r.add_argument("--wcc-iterations", type=int, default=50)
+        r.add_argument("--pr-iterations", type=int, default=10)
+        r.add_argument("--alpha", type=float, default=0.85)
+        r.add_argument("--workers", type=int, help="partitions that vertices and edges are dealt to")
     h = kinds.add_parser("serve")
     h.add_argument("--host", default="127.0.0.1")
     h.add_argument("--port", type=int, default=8080)
@@ -82,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps({"files": list_files(args.folder), "largest": best, "format": asdict(f) if best and (f := sniff_format(best[0])) else None}))
         else:
             names = benchmark_suite.RUNS if args.step == "run-all" else (args.step.removeprefix("run-"),)
-            reports = benchmark_suite.run(session(), read_properties(args.properties), names, out=args.out)
+            reports = benchmark_suite.run(session(), read_properties(args.properties), names, args.wcc_iterations, args.pr_iterations, args.alpha, args.out, args.workers)
             print(json.dumps(reports, sort_keys=True))
             return 0 if all(r["passed"] for r in reports.values()) else 1
     except VertexloomError as e:

@@ -32,6 +32,31 @@ class Config:
         return self.values.get(key, default)
 
 
+@dataclass(frozen=True)
+class Environment:
+    """Where pipelines run, and their settings."""
+
+    mode: str = "local"
+    config: Config = field(default_factory=Config)
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("local", "distributed"):
+            raise InvalidArgument(f"unknown mode {self.mode!r}")
+
+    @staticmethod
+    def local() -> "Environment":
+        return Environment("local")
+
+    @staticmethod
+    def distributed() -> "Environment":
+        return Environment("distributed")
+
+
+def ensure_local(environment: Environment) -> None:
+    if environment.mode != "local":
+        raise InvalidArgument("a local pipeline needs an environment of mode local")
+
+
 @dataclass(frozen=True)
 class FileSource:
     path: str
@@ -113,7 +138,7 @@ def load_graph(spark: SparkSession, spec: JobSpec) -> Graph:
 
 
 def run_job(spark: SparkSession, spec: JobSpec) -> Run:
-    """One way for all modes; resumes the job's latest checkpoint where there is one."""
+    """One way for all modes, for registered user programs too; resumes the job's latest checkpoint where there is one."""
     spec.validated()
     graph = load_graph(spark, spec)
     options: dict = {"partitions": spec.parallelism}
@@ -148,10 +173,15 @@ class PipelineTask(Protocol):
 class Pipeline:
     """Tasks in the order they were submitted; the first failure ends the run."""
 
-    def __init__(self, spark: SparkSession, mode: str = "local"):
-        if mode not in ("local", "distributed"):
-            raise InvalidArgument(f"unknown mode {mode!r}")
-        self.spark, self.mode, self.tasks = spark, mode, []
+    def __init__(self, spark: SparkSession, mode: str = "local", environment: Environment | None = None):
+        self.environment = environment or Environment(mode)
+        self.spark, self.tasks = spark, []
+        if self.environment.mode == "local" and not spark.sparkContext.master.startswith("local"):
+            raise InvalidArgument(f"mode local, but the session runs on {spark.sparkContext.master}")
+
+    @property
+    def mode(self) -> str:
+        return self.environment.mode
 
     def submit(self, name: str, task: Callable[[SparkSession], None]) -> "Pipeline":
         self.tasks.append((name, task))
@@ -175,21 +205,25 @@ class JobService:
 
     def submit(self, spec: JobSpec) -> str:
         spec.validated()
+        return self.start(spec.job_id, lambda: run_job(self.spark, spec))
+
+    def start(self, job_id: str, task: Callable[[], object]) -> str:
+        """Runs `task` under the name; what it returns is the job's result."""
         with self.lock:
-            if self.jobs.get(spec.job_id, {}).get("status") == "running":
-                raise InvalidArgument(f"job {spec.job_id} is running")
-            job = self.jobs[spec.job_id] = {"status": "running", "error": None, "run": None}
+            if self.jobs.get(job_id, {}).get("status") == "running":
+                raise InvalidArgument(f"job {job_id} is running")
+            job = self.jobs[job_id] = {"status": "running", "error": None, "run": None}
 
         def work() -> None:
             try:
-                job["run"] = run_job(self.spark, spec)
+                job["run"] = task()
                 job["status"] = "finished"
             except Exception as e:
                 job["error"], job["status"] = str(e), "failed"
 
         job["thread"] = threading.Thread(target=work, daemon=True)
         job["thread"].start()
-        return spec.job_id
+        return job_id
 
     def status(self, job_id: str) -> str:
         return self.jobs.get(job_id, {"status": "not_found"})["status"]
@@ -202,10 +236,18 @@ class JobService:
             self.jobs[job_id]["thread"].join(timeout)
         return self.status(job_id)
 
-    def fetch(self, job_id: str) -> DataFrame:
+    def result(self, job_id: str):
         if self.status(job_id) != "finished":
             raise InvalidArgument(f"job {job_id} is {self.status(job_id)}")
-        return self.jobs[job_id]["run"].vertices
+        return self.jobs[job_id]["run"]
+
+    def fetch(self, job_id: str) -> DataFrame:
+        return self.result(job_id).vertices
+
+    def workers(self) -> list[str]:
+        """The executors that are there now; the driver's own threads in local mode."""
+        status = self.spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+        return sorted(status.keySet().mkString(",").split(","))
 
     def listing(self) -> list[dict]:
         return [{"job_id": k, "status": v["status"], "error": v["error"]} for k, v in sorted(self.jobs.items())]

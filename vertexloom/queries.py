@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 from collections.abc import Callable
 
@@ -31,35 +30,29 @@ def trade_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionAll(s).withColumn("value", F.col("id"))
 
 
-#: Least quantity of a line that is an edge in the queries held against SQL; none in those named `_all_lines`.
-LARGE = 50
-
-
-def trade_pairs(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    """An edge from customer to supplier for each line of `least` or more, or each line at all, weighted by quantity."""
+def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from customer to supplier for each line, weighted by quantity."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    if least is not None:
-        lines = lines.filter(F.col("l_quantity") >= least)
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return lines.join(orders, "l_orderkey").select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"), F.col("l_quantity").cast("bigint").alias("value"))
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, both: bool = True, least: int | None = LARGE) -> Graph:
-    pairs = trade_pairs(spark, sf_dir, least)
+def trade_graph(spark: SparkSession, sf_dir: str, both: bool = True) -> Graph:
+    pairs = trade_pairs(spark, sf_dir)
     if both:
         pairs = pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value"))
     return Graph.build(trade_vertices(spark, sf_dir), durable(pairs, "trade"))
 
 
-def nation_graph(spark: SparkSession, sf_dir: str, step: int | None, value: float = 1.0) -> Graph:
-    """Nations, and an edge from each to the one `step` further on, which may not exist; none where step is None."""
-    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
-    edges = nations.select(F.col("id").alias("src"), (F.col("id") + (step or 0)).alias("dst")).filter(F.lit(step is not None))
-    return Graph.build(nations.withColumn("value", F.lit(value)), edges)
+def ring_graph(spark: SparkSession, sf_dir: str, step: int | None, value: float = 1.0) -> Graph:
+    """Customers, and an edge from each to the one `step` further on, which may not exist; none where step is None."""
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    edges = customers.select(F.col("id").alias("src"), (F.col("id") + (step or 0)).alias("dst")).filter(F.lit(step is not None))
+    return Graph.build(customers.withColumn("value", F.lit(value)), edges)
 
 
 V = "v AS (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier)"
-P = "p AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, CAST(l_quantity AS BIGINT) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50)"
+P = "p AS (SELECT o_custkey * 2 AS src, l_suppkey * 2 + 1 AS dst, CAST(l_quantity AS BIGINT) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 E = "e AS (SELECT src, dst, w FROM p UNION ALL SELECT dst, src, w FROM p)"
 E1 = "e AS (SELECT src, dst, w FROM p)"
 
@@ -109,18 +102,18 @@ def query(sql: str):
 
 
 @query(_labels(E, 50) + " SELECT id, component FROM w")
-def wcc_customer_supplier(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    return components(trade_graph(spark, sf_dir, least=least), 50).vertices.withColumnRenamed("value", "component")
+def wcc_customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(trade_graph(spark, sf_dir), 50).vertices.withColumnRenamed("value", "component")
 
 
 @query(_labels(E1, 3) + " SELECT id, component FROM w")
-def wcc_directed_bounded(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    return components(trade_graph(spark, sf_dir, both=False, least=least), 3).vertices.withColumnRenamed("value", "component")
+def wcc_directed_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(trade_graph(spark, sf_dir, both=False), 3).vertices.withColumnRenamed("value", "component")
 
 
 @query(_labels(E, 50) + " SELECT component, count(*) AS members FROM w GROUP BY component")
-def wcc_component_sizes(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    found = components(trade_graph(spark, sf_dir, both=False, least=least), 50, undirected=True).vertices
+def wcc_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = components(trade_graph(spark, sf_dir, both=False), 50, undirected=True).vertices
     return found.groupBy(F.col("value").alias("component")).agg(F.count("*").alias("members"))
 
 
@@ -129,12 +122,13 @@ def _rounded(vertices: DataFrame) -> DataFrame:
 
 
 @query(_ranks(f"{V}, {P}", E, 10) + " SELECT id, round(x, 6) AS rank FROM w")
-def pagerank_customer_supplier(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    graph = trade_graph(spark, sf_dir, least=least)
+def pagerank_customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = trade_graph(spark, sf_dir)
     return _rounded(pagerank(graph.with_values(graph.vertices.withColumn("value", F.lit(1.0))), 10).vertices)
 
 
 NATIONS = "v AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"
+RING = "v AS (SELECT c_custkey AS id FROM customer)"
 TRADE = "e AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
 
 
@@ -146,48 +140,55 @@ def pagerank_nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("src"))
     suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("dst"))
     edges = lines.join(orders, "l_orderkey").join(customers, "c_custkey").join(suppliers, "l_suppkey").select("src", "dst")
-    return _rounded(pagerank(Graph.build(nation_graph(spark, sf_dir, None).vertices, edges), 10).vertices)
+    return _rounded(pagerank(Graph.build(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.lit(1.0).alias("value")), edges), 10).vertices)
 
 
-@query(_ranks(NATIONS, "e AS (SELECT id AS src, id + 7 AS dst FROM v)", 6) + " SELECT id, round(x, 6) AS rank FROM w")
+@query(_ranks(RING, "e AS (SELECT id AS src, id + 7 AS dst FROM v)", 6) + " SELECT id, round(x, 6) AS rank FROM w")
 def pagerank_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pagerank(nation_graph(spark, sf_dir, 7), 6).vertices)
+    return _rounded(pagerank(ring_graph(spark, sf_dir, 7), 6).vertices)
 
 
-@query(f"WITH {NATIONS} SELECT id, CAST(1.0 AS DOUBLE) AS rank FROM v")
+@query(f"WITH {RING} SELECT id, CAST(1.0 AS DOUBLE) AS rank FROM v")
 def pagerank_no_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pagerank(nation_graph(spark, sf_dir, None), 10).vertices)
+    return _rounded(pagerank(ring_graph(spark, sf_dir, None), 10).vertices)
 
 
-@query(_ranks(NATIONS, "e AS (SELECT id AS src, id + 3 AS dst FROM v)", 5, "0.04", "0.15 * 0.04") + " SELECT id, round(x, 6) AS rank FROM w")
+@query(_ranks(RING, "e AS (SELECT id AS src, id + 3 AS dst FROM v)", 5, "0.04", "0.15 * 0.04") + " SELECT id, round(x, 6) AS rank FROM w")
 def pagerank_uniform_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pagerank(nation_graph(spark, sf_dir, 3, 0.04), 5).vertices)
+    return _rounded(pagerank(ring_graph(spark, sf_dir, 3, 0.04), 5).vertices)
 
 
-def _from_first(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    graph = trade_graph(spark, sf_dir, least=least)
-    # the SQL stops after 16 supersteps; paths over all lines run to their end
-    return shortest_paths(graph, graph.edges.agg(F.min("src")).first()[0], 1000 if least is None else 16).vertices
+def _from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = trade_graph(spark, sf_dir)
+    return shortest_paths(graph, graph.edges.agg(F.min("src")).first()[0]).vertices
 
 
 @query(_distances(16) + " SELECT id, distance FROM w")
-def sssp_weighted(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    return _from_first(spark, sf_dir, least).withColumnRenamed("value", "distance")
+def sssp_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_first(spark, sf_dir).withColumnRenamed("value", "distance")
+
 
+@query(f"WITH {RING} SELECT id % 7 = 0 AND id <= 7 * 11 AS reached, count(*) AS vertices FROM v GROUP BY 1")
+def sssp_unreached_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Along rings of customers, 12 supersteps far."""
+    found = shortest_paths(ring_graph(spark, sf_dir, 7), 0, 12).vertices
+    return found.groupBy((F.col("value") < 2147483647).alias("reached")).agg(F.count("*").alias("vertices"))
 
-@query(_distances(16) + " SELECT distance < 2147483647 AS reached, count(*) AS vertices FROM w GROUP BY 1")
-def sssp_unreached_sentinel(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    return _from_first(spark, sf_dir, least).groupBy((F.col("value") < 2147483647).alias("reached")).agg(F.count("*").alias("vertices"))
+
+@query(f"WITH {RING} SELECT id, greatest(id - 7 * 11, id % 7) AS component FROM v")
+def wcc_ring_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long paths: 12 supersteps carry a label over 11 edges."""
+    return components(ring_graph(spark, sf_dir, 7), 12).vertices.withColumnRenamed("value", "component")
 
 
 @query(f"WITH {P}, {E} SELECT src AS id, count(*) AS degree FROM e GROUP BY src")
-def out_degree(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    return trade_graph(spark, sf_dir, least=least).out_degrees()
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade_graph(spark, sf_dir).out_degrees()
 
 
 @query(f"WITH {P}, {E} SELECT src AS id, string_agg(dst || ':' || w, ',' ORDER BY dst, w) AS targets FROM e GROUP BY src")
-def adjacency(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    listed = trade_graph(spark, sf_dir, least=least).adjacency()
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = trade_graph(spark, sf_dir).adjacency()
     return listed.select("id", F.array_join(F.transform("targets", lambda t: F.concat_ws(":", t["dst"].cast("string"), t["value"].cast("string"))), ",").alias("targets"))
 
 
@@ -197,9 +198,9 @@ def vertex_dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(orders.select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("ordinal")))
 
 
-@query(f"WITH {NATIONS} SELECT id AS src, id + 7 AS dst FROM v WHERE id + 7 NOT IN (SELECT id FROM v)")
+@query(f"WITH {RING} SELECT id AS src, id + 7 AS dst FROM v WHERE id + 7 NOT IN (SELECT id FROM v)")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nation_graph(spark, sf_dir, 7).dangling_edges().select("src", "dst")
+    return ring_graph(spark, sf_dir, 7).dangling_edges().select("src", "dst")
 
 
 @query("SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)")
@@ -208,11 +209,11 @@ def orphan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_edges(vertices, _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))).select("src", "dst")
 
 
-@query("WITH e AS (SELECT n_nationkey AS src, n_regionkey AS dst FROM nation) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM e UNION ALL SELECT dst, src FROM e")
+@query("WITH e AS (SELECT o_custkey AS src, o_orderkey AS dst FROM orders) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE dst IN (SELECT src FROM e)")
 def undirected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), F.col("n_regionkey").cast("bigint").alias("dst"))
-    vertices = nations.select(F.col("src").alias("id"), F.lit(0).alias("value"))
-    return Graph.build(vertices, nations).undirected().edges.select("src", "dst")
+    edges = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    vertices = edges.select(F.col("src").alias("id"), F.lit(0).alias("value")).distinct()
+    return Graph.build(vertices, edges).undirected().edges.select("src", "dst")
 
 
 def _perturbed(rows: DataFrame, changed) -> DataFrame:
@@ -226,14 +227,14 @@ j AS (SELECT q.id AS a, w.id AS b, q.value, w.{value} AS expected FROM q FULL JO
 
 
 @query(_labels(E, 50) + PERTURBED.format(changed="component + 1", value="component") + " SELECT count(a) AS total, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND value <> expected) AS mismatches, count(*) FILTER (WHERE b IS NULL) AS unexpected, count(*) FILTER (WHERE a IS NULL) AS missing FROM j")
-def verify_labels(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    truth = components(trade_graph(spark, sf_dir, least=least), 50).vertices
+def verify_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = components(trade_graph(spark, sf_dir), 50).vertices
     return label_differences(_perturbed(truth, lambda v: v + 1), truth)
 
 
 @query(_ranks(f"{V}, {P}", E, 10) + PERTURBED.format(changed="x + 0.25", value="x") + " SELECT count(a) AS total, count(*) FILTER (WHERE b IS NULL) AS unexpected, count(*) FILTER (WHERE a IS NULL) AS missing, round(max(abs(value - expected)), 6) AS max_abs_diff, round(sum(abs(value - expected)), 6) AS l1 FROM j")
-def verify_ranks(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    graph = trade_graph(spark, sf_dir, least=least)
+def verify_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = trade_graph(spark, sf_dir)
     truth = pagerank(graph.with_values(graph.vertices.withColumn("value", F.lit(1.0))), 10).vertices
     out = rank_differences(_perturbed(truth, lambda v: v + 0.25), truth)
     return out.withColumns({c: F.round(c, 6) for c in ("max_abs_diff", "l1")})
@@ -246,8 +247,8 @@ def verify_ranks(spark: SparkSession, sf_dir: str, least: int | None = LARGE) ->
   LEFT JOIN (SELECT e.dst, min(r.c) AS c FROM r JOIN e ON r.id = e.src WHERE r.ch GROUP BY e.dst) m ON m.dst = x.id WHERE x.it < 50
 ), t AS (SELECT it AS iteration, count(*) FILTER (WHERE ch) AS updates, CAST(coalesce(sum(d.d) FILTER (WHERE ch), 0) AS BIGINT) AS messages FROM r LEFT JOIN d ON d.src = r.id GROUP BY it)
 SELECT CAST(iteration AS BIGINT) AS iteration, updates, messages FROM t WHERE iteration <= (SELECT min(iteration) FROM t WHERE messages = 0)""")
-def superstep_trace(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    graph = trade_graph(spark, sf_dir, least=least)
+def superstep_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = trade_graph(spark, sf_dir)
     return trace_frame(graph, components(graph, 50))
 
 
@@ -257,8 +258,8 @@ def superstep_trace(spark: SparkSession, sf_dir: str, least: int | None = LARGE)
   SELECT it + 1, x.id, least(x.h, coalesce(m.h, x.h)) FROM (SELECT any_value(r.it) OVER () AS it, id, h FROM r) x
   LEFT JOIN (SELECT e.dst, min(r.h + 1) AS h FROM r JOIN e ON r.id = e.src WHERE r.h < 2147483647 GROUP BY e.dst) m ON m.dst = x.id WHERE x.it < 12
 ) SELECT id, CAST(h AS BIGINT) AS hops FROM r WHERE it = 12 AND h < 2147483647""")
-def bfs_hops(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
-    graph = trade_graph(spark, sf_dir, least=least)
+def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = trade_graph(spark, sf_dir)
     even = Graph(graph.vertices, graph.edges.withColumn("value", F.lit(1).cast("bigint")))
     found = shortest_paths(even, graph.edges.agg(F.min("src")).first()[0], 12).vertices
     return found.filter("value < 2147483647").withColumnRenamed("value", "hops")
@@ -305,22 +306,17 @@ def state_upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ORACLES["wcc_customer_supplier"])
-def vertex_function_wcc(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
+def vertex_function_wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The general Python form of the components program."""
-    return run_function(trade_graph(spark, sf_dir, least=least), LeastLabel(), "bigint", 50).vertices.withColumnRenamed("value", "component")
+    return run_function(trade_graph(spark, sf_dir), LeastLabel(), "bigint", 50).vertices.withColumnRenamed("value", "component")
 
 
 @query(ORACLES["pagerank_customer_supplier"])
-def resume_pagerank(spark: SparkSession, sf_dir: str, least: int | None = LARGE) -> DataFrame:
+def resume_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped after superstep 4 and resumed from its checkpoint, over other partitions."""
-    graph = trade_graph(spark, sf_dir, least=least)
+    graph = trade_graph(spark, sf_dir)
     graph = graph.with_values(graph.vertices.withColumn("value", F.lit(1.0)))
     teleport = default_teleport(graph, 0.85)
     points = Checkpoints(spark, own_folder(spark), f"job-{uuid.uuid4().hex}", "pagerank", {"alpha": 0.85, "teleport": teleport}, 2)
     pagerank(graph, 4, 0.85, teleport, hook=points.hook, partitions=3)
     return _rounded(pagerank(graph, 10, 0.85, teleport, resume=points.latest(), partitions=5).vertices)
-
-
-#: Queries over edges of lines, each of which is also registered over the whole table, without SQL.
-LINE_QUERIES = ("wcc_customer_supplier", "wcc_directed_bounded", "wcc_component_sizes", "pagerank_customer_supplier", "sssp_weighted", "sssp_unreached_sentinel", "out_degree", "adjacency", "verify_labels", "verify_ranks", "superstep_trace", "bfs_hops", "vertex_function_wcc", "resume_pagerank")
-QUERIES |= {f"{name}_all_lines": functools.partial(QUERIES[name], least=None) for name in LINE_QUERIES}

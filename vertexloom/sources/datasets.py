@@ -9,7 +9,11 @@ import tarfile
 from dataclasses import dataclass
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import SparkSession
+
 from ..errors import InvalidArgument, StorageError
+from ..functions.storage import exists, read_text
 
 
 @dataclass(frozen=True)
@@ -24,19 +28,20 @@ class DatasetMeta:
     truth_ranks: str | None = None
 
 
-def read_properties(path: str) -> DatasetMeta:
-    """A `graph.graph500-<scale>.<key> = value` file; truth files stand beside it if there are any."""
-    file = Path(path)
+def read_properties(path: str, spark: SparkSession | None = None) -> DatasetMeta:
+    """A `graph.graph500-<scale>.<key> = value` file; truth files stand beside it if there are any. With `spark`, in any store that Spark reads."""
+    folder, _, name = path.rpartition("/")
+    folder = folder or "."
     try:
-        rows = file.read_text().splitlines()
-    except OSError as e:
+        rows = (Path(path).read_text() if spark is None else read_text(spark, path)).splitlines()
+    except (OSError, Py4JJavaError) as e:
         raise StorageError(str(e)) from e
     values = {}
     for row in map(str.strip, rows):
         if row and not row.startswith("#") and "=" in row:
             key, _, value = row.partition("=")
             values[key.strip()] = value.strip()
-    named = re.search(r"graph500-(\d+)", file.name) or next((m for k in values if (m := re.search(r"graph500-(\d+)", k))), None)
+    named = re.search(r"graph500-(\d+)", name) or next((m for k in values if (m := re.search(r"graph500-(\d+)", k))), None)
     if not named:
         raise InvalidArgument(f"no scale in {path}")
     prefix = f"graph.graph500-{named[1]}."
@@ -51,8 +56,11 @@ def read_properties(path: str) -> DatasetMeta:
             raise InvalidArgument(f"{prefix}{key} is not a count: {text}")
         return int(text)
 
-    beside = lambda suffix: str(p) if (p := file.parent / f"graph500-{named[1]}-{suffix}").exists() else None
-    return DatasetMeta(int(named[1]), str(file.parent / need("vertex-file")), str(file.parent / need("edge-file")), count("meta.vertices"), count("meta.edges"), need("directed").lower() == "true", beside("WCC"), beside("PR"))
+    def beside(suffix: str) -> str | None:
+        at = f"{folder}/graph500-{named[1]}-{suffix}"
+        return at if (Path(at).exists() if spark is None else exists(spark, at)) else None
+
+    return DatasetMeta(int(named[1]), f"{folder}/{need('vertex-file')}", f"{folder}/{need('edge-file')}", count("meta.vertices"), count("meta.edges"), need("directed").lower() == "true", beside("WCC"), beside("PR"))
 
 
 def list_files(folder: str) -> list[tuple[str, int]]:
