@@ -202,10 +202,10 @@ def test_secrets(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(300)] + ["", None, "token=token:abcdef", "f" * 60_000, "same token=abcdefg"] * 2
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     key = "".join(rng.choice(alphabet) for _ in range(40))
-    texts = [" ".join(rng.choice(["some", "plain", "words", "of", "text", "and", "names", "here"]) for _ in range(30)) for _ in range(120)] + texts
+    texts = [" ".join(rng.choice(["some", "plain", "words", "of", "text", "and", "names", "here"]) for _ in range(30)) + f" {i}" for i in range(500)] + texts
     texts += [f"see {key} here", "plain words only and a-hyphenated-compound-word-of-letters", "a1" * 20 + " is regular"]
     docs = docs_of(spark, texts)
-    limits = secrets.fdr_thresholds(docs_of(spark, texts[:120] + texts[-3:]))
+    limits = secrets.fdr_thresholds(docs_of(spark, texts[:500] + texts[-3:]))
     found = secrets.scan(docs, limits)
     got = by_id(found.select("doc_id", secrets.written(F.filter("spans", lambda s: s["kind"] < 3)).alias("base"), secrets.written(F.col("spans")).alias("all"), secrets.redact(F.col("text"), F.col("spans")).alias("clean")))
     for i, text in enumerate(texts):

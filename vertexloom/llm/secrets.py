@@ -15,10 +15,10 @@ string's is spread over 0 to 1, an ordinary one's lies near 0, the more so the l
 
 The hypothesis that a candidate must overcome is "ordinary text of this corpus". Its law is counted in
 each length band from stand-ins: from words of each whole text, joined like identifiers and paths,
-with numbers, a string a band and document. In a band with encoding, the candidates above a score
+with numbers, `STAND_INS` strings a document, for bands that its hash chooses. In a band with encoding, the candidates above a score
 are reported for the lowest score at which the ordinary ones expected there (all candidates of the
 band times the part of stand-ins that score as high in that encoding) are no more than the given
-share of them: the Benjamini-Hochberg rule, on p-values from the stand-ins. Short strings have less
+share of them, over all encodings: the Benjamini-Hochberg rule, on p-values from the stand-ins. Short strings have less
 power, and are judged among their like; where no score bounds the false ones, the band abstains.
 A span that a base span overlaps is not reported. Scores are counted in classes, so the corpus
 is reduced to `BANDS` x 3 x `CLASSES` counts of either sort, and the thresholds are a number a
@@ -61,6 +61,8 @@ CHI_SETS = {
 }
 #: Part of the reported random spans that may be ordinary text.
 RATE = 0.05
+#: Stand-ins that each document gives.
+STAND_INS = 3
 #: What words of stand-ins are joined with.
 JOINTS = ("/", "_", "-", "=")
 
@@ -207,29 +209,34 @@ def candidates(text: Column) -> Column:
 
 
 def stand_ins(text: Column) -> Column:
-    """array<band, text>: of each band a string like an identifier or a path, of words from all over the text, with numbers."""
+    """array<band, text>: `STAND_INS` strings like identifiers or paths, of words from all over the text, with numbers, for bands that a hash chooses."""
+    ends = (19, *BAND_ENDS, 192)
 
     def made(words: Column) -> Column:
         n = F.size(words)
 
-        def of(k: int, size: Column, seed: Column) -> Column:
+        def of(seed: Column, place: Column) -> Column:
+            band = ((seed + 3 * place) % BANDS).cast("int")
+            seed = seed + 7919 * place
+            begin, end = (F.element_at(F.array(*map(F.lit, e)), band + 1) for e in (ends[:-1], ends[1:]))
+            size = (begin + 1 + F.floor(seed / BANDS) % (end - begin)).cast("int")
+            k = F.floor(size / 3).cast("int")
+
             def piece(i: Column) -> Column:
-                word = F.get(words, F.pmod(seed + i * F.greatest(F.floor(n / k), F.lit(1)), n).cast("int"))
+                raw = F.get(words, F.pmod(seed + i * F.greatest(F.floor(n / k), F.lit(1)), n).cast("int"))
+                # the long ones may be candidates themselves
+                word = F.when(F.char_length(raw) <= 16, F.regexp_replace(raw, "[^A-Za-z0-9]", "")).otherwise("")
                 draw = F.pmod(F.xxhash64(seed, i), F.lit(1 << 20)).cast("int")
                 cased = F.when(draw % 3 == 0, F.initcap(word)).otherwise(word)
                 number = F.when(F.floor(draw / 3) % 2 == 0, (F.floor(draw / 6) % F.element_at(F.array(*(F.lit(10**d) for d in range(1, 5))), (F.floor(draw / 64) % 4 + 1).cast("int"))).cast("string")).otherwise("")
                 return F.concat(cased, number, F.element_at(F.array(*map(F.lit, JOINTS)), (F.floor(draw / 7) % len(JOINTS) + 1).cast("int")))
 
-            return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), piece), ""), F.lit(1), size)
-
-        def one(band: int, begin: int, end: int):
-            return lambda seed: F.struct(F.lit(band).alias("band"), of(-(-end // 3), (begin + 1 + seed % (end - begin)).cast("int"), seed).alias("text"))
+            return F.struct(band.alias("band"), F.substring(F.array_join(F.transform(F.sequence(F.lit(0), k - 1), piece), ""), F.lit(1), size).alias("text"))
 
-        ends = (19, *BAND_ENDS, 192)
-        out = [let(F.pmod(F.xxhash64(F.get(words, 0), n, F.lit(band)), F.lit(1 << 20)), one(band, ends[band], ends[band + 1])) for band in range(BANDS)]
-        return F.when(n >= 8, F.array(*out))
+        each = let(F.pmod(F.xxhash64(F.get(words, 0), F.get(words, n - 1), n), F.lit(1 << 20)), lambda seed: F.transform(F.sequence(F.lit(0), F.lit(STAND_INS - 1)), lambda i: of(seed, i)))
+        return F.when(n >= 8, each)
 
-    return let(F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9])[A-Za-z0-9]{2,15}(?![A-Za-z0-9])"), F.lit(0)), made)
+    return let(F.split(text, " "), made)
 
 
 def fdr_thresholds(docs: DataFrame, rate: float = RATE) -> list[int]:
@@ -243,14 +250,18 @@ def fdr_thresholds(docs: DataFrame, rate: float = RATE) -> list[int]:
     limits = []
     for band in range(BANDS):
         total = [sum(v for k, v in n.items() if k[:2] == (real, band)) for real in (0, 1)]
+        likes = {}  # by encoding and class: stand-ins of that encoding that score as high
         for code in range(len(ALPHABETS)):
-            best, found, like = -1, 0, 0
+            like = 0
             for klass in range(CLASSES):  # from the highest score down
-                found += n.get((1, band, code, klass), 0)
                 like += n.get((0, band, code, klass), 0)
-                if found and total[1] * (like + 1) / (total[0] + 1) <= rate * found:
-                    best = klass
-            limits.append(best)
+                likes[code, klass] = like
+        bound, found = -1, 0
+        for like in sorted(set(likes.values())):  # p-values are (like + 1) over (stand-ins + 1)
+            found = sum(n.get((1, band, *k), 0) for k, v in likes.items() if v <= like)
+            if found and total[1] * (like + 1) / (total[0] + 1) <= rate * found:
+                bound = like
+        limits += [max((klass for klass in range(CLASSES) if likes[code, klass] <= bound), default=-1) for code in range(len(ALPHABETS))]
     return limits
 
 
