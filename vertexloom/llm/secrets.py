@@ -116,22 +116,24 @@ def base_spans(text: Column) -> Column:
 
 def _normal_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0, to 1e-7 (Abramowitz and Stegun 26.2.17)."""
-    t = 1 / (1 + 0.2316419 * z)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.least(F.lit(1.0), F.greatest(F.lit(1e-300), F.exp(-z * z / 2) * 0.3989422804014327 * poly))
+
+    def of(z: Column) -> Column:
+        poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.least(F.lit(1.0), F.greatest(F.lit(1e-300), F.exp(-z * z / 2) * 0.3989422804014327 * let(1 / (1 + 0.2316419 * z), poly)))
+
+    return let(z, of)  # here and below: what is named often is computed once, which keeps the plan small too
 
 
 def _chi_squared(text: Column, name: str) -> Column:
-    """p-value of equal use of the alphabet, by its classes."""
-    n, sets = F.char_length(text).cast("double"), CHI_SETS[name]
-    terms = []
-    for letters in sets:
-        expected = n * len(letters) / len(ALPHABETS[name])
-        gap = n - F.char_length(F.translate(text, letters, "")) - expected
-        terms.append(gap * gap / expected)
-    df = len(sets) - 1
-    z = (F.pow(sum(terms[1:], terms[0]) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
-    return F.when(z >= 0, _normal_tail(F.abs(z))).otherwise(1 - _normal_tail(F.abs(z)))
+    """Normal score of how unevenly the text uses the alphabet, by its classes."""
+    sets, df = CHI_SETS[name], len(CHI_SETS[name]) - 1
+    size = len(ALPHABETS[name])
+
+    def total(n: Column) -> Column:
+        terms = [F.pow(n * (1 - len(x) / size) - F.char_length(F.translate(text, x, "")), F.lit(2.0)) / (n * len(x) / size) for x in sets]
+        return (F.pow(sum(terms[1:], terms[0]) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+
+    return let(F.char_length(text).cast("double"), total)
 
 
 def _battery(s: Column) -> Column:
@@ -160,13 +162,14 @@ def _battery(s: Column) -> Column:
                 )
 
             def score(r: Column) -> Column:
-                low = n - r["high"]
-                mid = 2 * r["high"] * low / n + 1
-                spread = (mid - 1) * (mid - 2) / (n - 1)
-                z_runs = F.when(spread > 0, F.abs(r["runs"] - mid) / F.sqrt(spread)).otherwise(F.lit(10.0))
+                def by_middle(mid: Column) -> Column:
+                    return let((mid - 1) * (mid - 2) / (n - 1), lambda spread: F.when(spread > 0, F.abs(r["runs"] - mid) / F.sqrt(spread)).otherwise(F.lit(10.0)))
+
+                z_runs = let(2 * r["high"] * (n - r["high"]) / n + 1, by_middle)
                 z_serial = F.when(r["var"] > 0, F.abs(r["cov"] / r["var"]) * F.sqrt(n)).otherwise(F.lit(10.0))
-                two = lambda z: F.least(F.lit(1.0), 2 * _normal_tail(z))
-                return F.least(F.lit(1.0), 3 * F.least(uniform, two(z_runs), two(z_serial)))
+                upper = let(uniform, lambda z: let(_normal_tail(F.abs(z)), lambda p: F.when(z >= 0, p).otherwise(1 - p)))
+                # of the two-sided tests, the larger score has the smaller p
+                return F.least(F.lit(1.0), 3 * F.least(upper, F.least(F.lit(1.0), 2 * _normal_tail(F.greatest(z_runs, z_serial)))))
 
             pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
             given = F.struct((F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n).alias("mean"), pairs.alias("pairs"))
@@ -218,20 +221,26 @@ def stand_ins(text: Column) -> Column:
         def of(seed: Column, place: Column) -> Column:
             band = ((seed + 3 * place) % BANDS).cast("int")
             seed = seed + 7919 * place
-            begin, end = (F.element_at(F.array(*map(F.lit, e)), band + 1) for e in (ends[:-1], ends[1:]))
-            size = (begin + 1 + F.floor(seed / BANDS) % (end - begin)).cast("int")
-            k = F.floor(size / 3).cast("int")
-
-            def piece(i: Column) -> Column:
-                raw = F.get(words, F.pmod(seed + i * F.greatest(F.floor(n / k), F.lit(1)), n).cast("int"))
-                # the long ones may be candidates themselves
-                word = F.when(F.char_length(raw) <= 16, F.regexp_replace(raw, "[^A-Za-z0-9]", "")).otherwise("")
-                draw = F.pmod(F.xxhash64(seed, i), F.lit(1 << 20)).cast("int")
-                cased = F.when(draw % 3 == 0, F.initcap(word)).otherwise(word)
-                number = F.when(F.floor(draw / 3) % 2 == 0, (F.floor(draw / 6) % F.element_at(F.array(*(F.lit(10**d) for d in range(1, 5))), (F.floor(draw / 64) % 4 + 1).cast("int"))).cast("string")).otherwise("")
-                return F.concat(cased, number, F.element_at(F.array(*map(F.lit, JOINTS)), (F.floor(draw / 7) % len(JOINTS) + 1).cast("int")))
-
-            return F.struct(band.alias("band"), F.substring(F.array_join(F.transform(F.sequence(F.lit(0), k - 1), piece), ""), F.lit(1), size).alias("text"))
+            size = F.element_at(F.array(*map(F.lit, ends[:-1])), band + 1) + 1 + F.floor(seed / BANDS) % F.element_at(F.array(*(F.lit(e - b) for b, e in zip(ends, ends[1:], strict=False))), band + 1)
+
+            def joined(size: Column) -> Column:
+                k = F.floor(size / 3).cast("int")
+
+                def piece(i: Column) -> Column:
+                    raw = F.get(words, F.pmod(seed + i * F.greatest(F.floor(n / k), F.lit(1)), n).cast("int"))
+                    # the long ones may be candidates themselves
+                    word = let(raw, lambda w: F.when(F.char_length(w) <= 16, F.regexp_replace(w, "[^A-Za-z0-9]", "")).otherwise(""))
+
+                    def dressed(draw: Column) -> Column:
+                        number = F.floor(draw / 6) % F.element_at(F.array(*(F.lit(10**d) for d in range(1, 5))), (F.floor(draw / 64) % 4 + 1).cast("int"))
+                        cased = let(word, lambda w: F.when(draw % 3 == 0, F.initcap(w)).otherwise(w))
+                        return F.concat(cased, F.when(F.floor(draw / 3) % 2 == 0, number.cast("string")).otherwise(""), F.element_at(F.array(*map(F.lit, JOINTS)), (F.floor(draw / 7) % len(JOINTS) + 1).cast("int")))
+
+                    return let(F.pmod(F.xxhash64(seed, i), F.lit(1 << 20)).cast("int"), dressed)
+
+                return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), k - 1), piece), ""), F.lit(1), size)
+
+            return F.struct(band.alias("band"), let(size.cast("int"), joined).alias("text"))
 
         each = let(F.pmod(F.xxhash64(F.get(words, 0), F.get(words, n - 1), n), F.lit(1 << 20)), lambda seed: F.transform(F.sequence(F.lit(0), F.lit(STAND_INS - 1)), lambda i: of(seed, i)))
         return F.when(n >= 8, each)
