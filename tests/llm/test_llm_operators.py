@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from vertexloom.llm import bit_sliced, bpe, chat_format, jaccard_join, language_id, line_dedup, packing, quality, queries, secrets, shingles, toxicity
+from vertexloom.llm.common import Scratch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, stats int, spans int"
 
@@ -684,6 +685,25 @@ def test_jaccard_of_texts_that_share_most_of_a_passage(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def test_classes_joined_by_later_links(spark):
+    """Chains of classes, nodes that only later links name, later links inside a class, repeated and none."""
+    rng = random.Random(31)
+    early = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(30)] + [(100 + i, 101 + i) for i in range(0, 20, 2)]
+    late = [(rng.randrange(-60, 40), rng.randrange(-60, 40)) for _ in range(12)] * 2 + [(101 + i, 102 + i) for i in range(0, 18, 2)] + early[:2]
+    early = [(a, b) for a, b in early if a != b]
+    late = [(a, b) for a, b in late if a != b]
+    for more in (late, []):
+        low = {n: n for pair in early + more for n in pair}
+        for _ in low:
+            for a, b in early + more:
+                low[a] = low[b] = min(low[a], low[b])
+        scratch = Scratch()
+        first, second = (spark.createDataFrame(x, "a bigint, b bigint") for x in (early, more))
+        got = jaccard_join.merged_classes(jaccard_join.components(first, scratch), second, scratch).collect()
+        assert len(got) == len(low) and {r["node"]: r["label"] for r in got} == low
+        scratch.clear()
+
+
 def test_shingles_of_long_words_and_texts(monkeypatch):
     """Bytes are hashed in steps, within words too."""
     rng = random.Random(5)

@@ -417,6 +417,16 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def merged_classes(labels: DataFrame, late: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, label after more links (a, b): only the classes that they join are followed, each as one node, its label."""
+    ends = late.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = scratch.keep(labels.unionAll(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "labels")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+    above = components(late.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), scratch)
+    above = above.select(F.col("node").alias("label"), F.col("label").alias("above"))
+    return known.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+
+
 def _open_nodes(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """node, label of the nodes that may have links which only long runs show, and their whole sets."""
     in_runs = scratch.keep(members.select("run", F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label")), "runs")
@@ -506,7 +516,7 @@ def join_classes(docs: DataFrame, bucket_signatures: int = BUCKET_SIGNATURES, ho
         if not more.isEmpty():
             late = _verified(more, nodes, docs, scratch).filter(linked).select("a", "b")
             if not late.isEmpty():
-                labels = components(links.unionAll(late), scratch)
+                labels = merged_classes(labels, late, scratch)
     own = full.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     empty = named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
